@@ -107,11 +107,49 @@ def best_fit_decreasing(lengths: np.ndarray, window: int, first_sequence: int) -
     return sequence, offset, free
 
 
+def fill_gaps(sequences: list[list[tuple[int, int, int]]], window: int, least: int) -> list[list[tuple[int, int, int]]]:
+    """Dissolve the emptiest sequences into the gaps of the fullest.
+
+    A sequence is a list of ``(item, start, length)``.  Items of dissolved
+    sequences are cut to the gaps of at least ``least`` ids that best fit left;
+    a sequence is dissolved only if all of it finds room.
+    """
+    used = [sum(p[2] for p in s) for s in sequences]
+    order = sorted(range(len(sequences)), key=lambda s: (-used[s], s))
+    gaps = [window - used[s] if window - used[s] >= least else 0 for s in order]
+    room, moved, keep = sum(gaps), 0, len(order)
+    while keep > 1 and moved + used[order[keep - 1]] <= room - gaps[keep - 1]:
+        keep -= 1
+        moved += used[order[keep]]
+        room -= gaps[keep]
+    at = keep - 1  # receivers with the largest gaps first: fewest cuts
+    for s in order[keep:]:
+        for item, start, length in sequences[s]:
+            while length:
+                while not gaps[at]:
+                    at -= 1
+                part = min(length, gaps[at])
+                sequences[order[at]].append((item, start, part))
+                gaps[at] -= part
+                start, length = start + part, length - part
+    return [sequences[s] for s in order[:keep]]
+
+
 def pack(
-    docs: DataFrame, tokenizer_path: str, *, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    tokenizer_path: str,
+    *,
+    window: int = 1024,
+    end_id: int = 0,
+    least_gap: int = 16,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """Pack every document into sequences of at most ``window`` ids.
 
+    After best-fit decreasing, the emptiest sequences are cut into the gaps of
+    at least ``least_gap`` ids that the others have left.
+
     A null text counts as empty and still gives its closing id.  Rows with a
     null or repeated id are packed like any other; an empty table gives no
     piece.  Returns one row per piece: ``doc_id, start, length, ids_crc32,
@@ -137,13 +175,24 @@ def pack(
                     full.append((doc, start, window, zlib.crc32(ids[4 * start : 4 * (start + window)]), n, base + free, 0))
                     free += 1
                 if left := n % window:
-                    rests.append((doc, n - left, left, zlib.crc32(ids[4 * (n - left) :]), n))
+                    rests.append((doc, n - left, n, ids[4 * (n - left) :]))
             if full:
                 yield emit(list(zip(*full, strict=True)))
         if rests:
-            doc, start, length, crc, n = zip(*rests, strict=True)
-            sequence, offset, _ = best_fit_decreasing(np.array(length), window, free)
-            yield emit([doc, start, length, crc, n, sequence + base, offset])
+            lengths = np.array([len(r[3]) // 4 for r in rests])
+            sequence, _, end = best_fit_decreasing(lengths, window, 0)
+            content: list[list[tuple[int, int, int]]] = [[] for _ in range(end)]
+            for k, s in enumerate(sequence.tolist()):
+                content[s].append((k, 0, int(lengths[k])))
+            pieces = []
+            for s, parts in enumerate(fill_gaps(content, window, least_gap)):
+                offset = 0
+                for k, start, length in parts:
+                    doc, first, n, ids = rests[k]
+                    pieces.append((doc, first + start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, base + free + s, offset))
+                    offset += length
+            for k in range(0, len(pieces), 10_000):
+                yield emit(list(zip(*pieces[k : k + 10_000], strict=True)))
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return picked.mapInArrow(run, ", ".join(f"{n} long" for n in names))

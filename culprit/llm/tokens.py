@@ -95,7 +95,7 @@ def chunks_of(text: str) -> tuple[str, list[str]]:
 
 
 class ChunkCounter(dict):
-    """Number of tokens by chunk key, filled on demand."""
+    """Number of tokens by chunk key, filled as texts need them."""
 
     def __init__(self, path: str, cap: int = CHUNK_TABLE):
         import regex
@@ -106,27 +106,38 @@ class ChunkCounter(dict):
         self.split = regex.compile(_BYTE_LEVEL_SPLIT).findall
         self.special = special_pattern(self.tok)
 
-    def chunk(self, chunk: str) -> int:
-        pre = self.split(chunk)
-        rest = [p for p in pre if p not in self.whole]
-        if not rest:
-            return len(pre)
-        merged = self.tok.encode_batch(rest, add_special_tokens=False)
-        return len(pre) - len(rest) + sum(map(len, merged))
-
-    def __missing__(self, key: str) -> int:
-        n = self.chunk(key if key[:1] == "\n" else " " + key)
-        if len(self) < self.cap:
-            self[key] = n
-        return n
-
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if self.special is not None and self.special.search(text):
-            return len(self.tok.encode(text, add_special_tokens=False))
-        first, rest = chunks_of(text)
-        return (self.chunk(first) if first else 0) + sum(map(self.__getitem__, rest))
+    def fill(self, keys: set[str]) -> dict[str, int]:
+        """Counts of new chunks: whole tokens count one, all other pre-tokens are merged in one call."""
+        split, whole = self.split, self.whole
+        pre = {k: split(k if k[:1] == "\n" or k[:1] == "\0" else " " + k) for k in keys}
+        for k in keys:
+            if k[:1] == "\0":  # a text's first chunk has no space before it
+                pre[k] = split(k[1:])
+        rest = list({p for ps in pre.values() for p in ps if p not in whole})
+        merged = dict(zip(rest, map(len, self.tok.encode_batch_fast(rest, add_special_tokens=False)), strict=True)) if rest else {}
+        get = merged.get
+        got = {k: sum([get(p, 1) for p in ps]) for k, ps in pre.items()}
+        if (room := self.cap - len(self)) > 0:
+            self.update(list(got.items())[:room])
+        return got
+
+    def count_all(self, ts: list[str]) -> list[int]:
+        """Counts of some texts; their new chunks are encoded together."""
+        special = self.special.search if self.special is not None else lambda t: None
+        keys: list[list[str] | None] = []
+        for t in ts:
+            if special(t) or "\0" in t:
+                keys.append(None)
+            else:
+                first, rest = chunks_of(t)
+                keys.append(["\0" + first, *rest] if first else rest)
+        new: set[str] = set()
+        for ks in keys:
+            new.update(ks or ())
+        new.difference_update(self.keys())
+        extra = self.fill(new) if new else {}
+        known = self if len(self) < self.cap else {**extra, **{k: self[k] for ks in keys for k in ks or () if k in self}}
+        return [len(self.tok.encode(t, add_special_tokens=False)) if ks is None else sum(map(known.__getitem__, ks)) for t, ks in zip(ts, keys, strict=True)]
 
 
 def text_counter(path: str):
@@ -140,7 +151,7 @@ def text_counter(path: str):
         tok = load_tokenizer(path)
         return lambda ts: [len(tok.encode(t, add_special_tokens=False)) for t in ts]
     counter = ChunkCounter(path)
-    return lambda ts: list(map(counter.count, ts))
+    return lambda ts: [n for k in range(0, len(ts), 500) for n in counter.count_all(ts[k : k + 500])]
 
 
 def count_tokens(
