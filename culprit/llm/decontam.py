@@ -174,4 +174,4 @@ def decontaminate(
         [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
          T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), *kept]
     )
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *keep).mapInArrow(run, schema)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("__text"), *keep).mapInArrow(run, schema)

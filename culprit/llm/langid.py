@@ -157,6 +157,8 @@ class Labeller:
     def label(self, texts: list[str], spans: bool = False):
         """Per text: language (or ``und``), score, and spans if asked for."""
         langs = self.model.langs
+        if not langs:
+            return [("und", 0.0, [])] * len(texts)
         tokens = [t.split() for t in texts]
         known = self.word
         fresh = {w for ws in tokens for w in ws if w not in known}
@@ -166,8 +168,6 @@ class Labeller:
             self._learn(fresh)
         ids = [np.fromiter(map(self.word.__getitem__, ws), np.int64, len(ws)) for ws in tokens]
         ids = [x[x >= 0] for x in ids]
-        if not langs:
-            return [("und", 0.0, [])] * len(texts)
         n = np.array([len(x) for x in ids])
         order = np.argsort(-n, kind="stable")
         flat = np.concatenate([ids[k] for k in order]) if len(order) else np.zeros(0, np.int64)
@@ -246,4 +246,4 @@ def identify(
 
     schema = "doc_id long, lang_pred string, score double" + (", spans array<struct<first:long,last:long,lang:string>>" if spans else "")
     schema += "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *keep).mapInArrow(run, schema)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("__text"), *keep).mapInArrow(run, schema)

@@ -75,7 +75,7 @@ class CapacityTree:
         i = need + self.size
         if not self.any[i]:
             while True:
-                if i & (i - 1) == 0:
+                if i == 1:
                     return None
                 if not i & 1 and self.any[i + 1]:
                     i += 1
