@@ -1,7 +1,7 @@
 """WARC archives with revisit resolution.
 
-``write_archive`` writes one record per row as WARC/1.1 files through Spark's
-own writer, so any file system that Spark knows will do.  ``read_headers`` and
+``write_archive`` writes one record per row as gzipped WARC/1.1 files through
+Spark's own writer, so any file system that Spark knows will do.  ``read_headers`` and
 ``read_records`` stream records back from those files by their content length.
 ``resolve`` shuffles headers only: they are grouped by payload digest and
 length, the record with the largest page id of each group is the response, and
@@ -12,6 +12,7 @@ where revisit records have no payload.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -25,7 +26,6 @@ from culprit.llm.common import shared_dir
 FILE_RECORDS = 2_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-_EMPTY = "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
 
 
 def _clean(c: Column) -> Column:
@@ -35,10 +35,9 @@ def _clean(c: Column) -> Column:
 
 def base32_sha1(c: Column) -> Column:
     """Upper-case base32 SHA-1 of a string's UTF-8 bytes, in built-in functions."""
-    bits = F.concat(*(F.lpad(F.conv(F.substring(F.sha1(c), 10 * k + 1, 10), 16, 2), 40, "0") for k in range(4)))
-    five = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.conv(F.substr(bits, k * 5 + 1, F.lit(5)), 2, 10).cast("int"))
-    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    return F.array_join(F.transform(five, lambda v: F.substr(alphabet, v + 1, F.lit(1))), "")
+    # 10 hexadecimal digits are 40 bits are 8 digits to the base 32, which conv writes as 0-9A-V
+    digits = F.concat(*(F.lpad(F.conv(F.substring(F.sha1(c), 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)))
+    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def write_archive(records: DataFrame, path: str) -> None:
@@ -70,11 +69,11 @@ def write_archive(records: DataFrame, path: str) -> None:
         block,
         F.lit("\r\n\r"),
     )
-    records.select(head.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.select(head.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def records_in(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an uncompressed archive."""
+    """Headers and block of each record of an archive's plain bytes."""
     at = 0
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
@@ -106,7 +105,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for h, block in records_in(content.as_buffer().to_pybytes()):
+                for h, block in records_in(gzip.decompress(content.as_buffer())):
                     revisit = h["warc-type"] == "revisit"
                     digest, n = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"])
                     if not revisit and (digest, n) != (_digest(block), len(block)):
@@ -171,4 +170,6 @@ def archive_and_deduplicate(pages: DataFrame, *, id_col: str = "page_id", url_co
         F.when(F.col("__to").isNotNull(), "revisit").otherwise("response").alias("kind"), F.col("__to").alias("refers_to"),
     )
     write_archive(fresh, f"{folder}/deduplicated")
+    full_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/all")
+    full_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(full_path, True)
     return read_records(spark, f"{folder}/deduplicated", payload=False)
