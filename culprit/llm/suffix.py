@@ -16,26 +16,34 @@ refined where it matters:
 2. The other runs are refined by the pointer of their whole content.  A run
    whose content occurs in an earlier document is repeated as a whole.
 3. Where different contents share a key, the first run of each content is
-   refined to single windows.
+   refined to single windows.  Buckets of up to ``GROUP`` contents are dealt by
+   key and compared where they meet.  In larger ones the windows are grouped
+   under longer (64-byte) keys, and each document gets the repeated windows
+   of the keys that it has, so what is sent back is a row per document and key.
 
-Each step is a grouped minimum, which Spark aggregates before the shuffle, and a
-join that it may split, so no bucket of any size meets in one task.  Repeats
+The other steps are grouped minima, which Spark aggregates before the shuffle,
+and joins that it may split, so no large bucket meets in one task.  Repeats
 inside a document are found in the document itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from culprit.llm.common import materialize
+from culprit.llm.common import discard, materialize
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S1, _S2 = np.uint64(29), np.uint64(32)
 _Q = 32
+#: Contents of one key that may be compared in one task; larger buckets go by single windows.
+GROUP = 256
+#: Repeated windows in one row that goes back to the documents of a key.
+LIST = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,27 +62,38 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix(x)
 
 
-def runs_of(raw: bytes, window: int) -> tuple[np.ndarray, ...] | None:
-    """Keys, first windows and content pointers of the runs; pointers of all windows and of all q-grams. None if too short."""
-    n = len(raw)
-    if n < window:
-        return None
-    words = np.ndarray((n - 7,), "<u8", buffer=raw, strides=(1,)).astype(np.uint64)
+def pointers(raw: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pointers of all 32-byte strings and of all windows of ``raw``, which holds a window at least."""
+    words = np.ndarray((len(raw) - 7,), "<u8", buffer=raw, strides=(1,)).astype(np.uint64)
     p8 = _mix(words + _A)
     p16 = _pair(p8[:-8], p8[8:])
     p32 = _pair(p16[:-16], p16[16:])
-    count, reach = n - window + 1, window - _Q + 1
-    least, have = p32, 1
-    while have < reach:
-        step = min(have, reach - have)
-        least = np.minimum(least[:-step], least[step:])
-        have += step
+    count = len(raw) - window + 1
     whole = p32[:count] * _A
     for at in (*range(_Q, window - _Q, _Q), window - _Q):
         whole += p32[at : at + count]
         whole *= _B
         whole ^= whole >> _S1
-    _mix(whole)
+    return p32, _mix(whole)
+
+
+def least_over(x: np.ndarray, reach: int) -> np.ndarray:
+    """Minimum of each ``reach`` consecutive values."""
+    have = 1
+    while have < reach:
+        step = min(have, reach - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def runs_of(raw: bytes, window: int) -> tuple[np.ndarray, ...] | None:
+    """Keys, first windows and content pointers of the runs; pointers of all windows and of all q-grams. None if too short."""
+    if len(raw) < window:
+        return None
+    p32, whole = pointers(raw, window)
+    count = len(whole)
+    least = least_over(p32, window - _Q + 1)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     length = np.diff(np.append(first, count))
     place = np.arange(count, dtype=np.uint64)
@@ -129,23 +148,111 @@ def _emit_runs(docs: DataFrame, window: int, contents: bool) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _emit_windows(docs: DataFrame, window: int) -> DataFrame:
-    """The windows of the runs whose content pointer is in ``marks``: ``key, whole, doc``."""
-    names = ["key", "whole", "doc"]
+_OPEN = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("whole", pa.int64()), ("bytes", pa.binary())])
+
+
+def _batch(**cols: pa.Array) -> pa.RecordBatch:
+    n = len(cols["key"])
+    return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(n, f.type)) for f in _OPEN], schema=_OPEN)
+
+
+def _met_windows(found: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+    """Windows of some documents, aggregated to first and last document, and their keys by document."""
+    key, whole = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    doc = np.repeat(np.array([f[2] for f in found], np.int64), [len(f[0]) for f in found])
+    o = np.lexsort((doc, whole, key))
+    k, w, d = key[o], whole[o], doc[o]
+    head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])]))
+    yield _batch(key=_i64(k[head]), doc=pa.array(d[head]), last=pa.array(d[np.append(head[1:], len(d)) - 1]), whole=_i64(w[head]))
+    o = np.lexsort((key, doc))
+    k, d = key[o], doc[o]
+    head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]))
+    yield _batch(key=_i64(k[head]), doc=pa.array(d[head]))
+
+
+def _emit_open(docs: DataFrame, window: int) -> DataFrame:
+    """Runs with a content pointer in ``marks`` as bytes; of those in ``hot``, windows and documents under 64-byte keys."""
 
     def run(batches):
+        rows: list[tuple] = []
+        found: list[tuple[np.ndarray, np.ndarray, int]] = []
+        size = 0
+
+        def made():
+            keys, own, content = zip(*rows, strict=True)
+            rows.clear()
+            return _batch(key=pa.array(keys, pa.int64()), doc=pa.array(own, pa.int64()), bytes=pa.array(content, pa.binary()))
+
         for b in batches:
-            for doc, text, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                r = runs_of((text or "").encode(), window)
-                if r is None:
+            for doc, text, marks, hot in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                raw = (text or "").encode()
+                if (r := runs_of(raw, window)) is None:
                     continue
-                keys, first, content, whole, _ = r
-                open_ = np.isin(content.view(np.int64), marks.values.to_numpy())
-                length = np.diff(np.append(first, len(whole)))
-                pick = np.repeat(open_, length)
-                yield pa.RecordBatch.from_arrays([_i64(np.repeat(keys, length)[pick]), _i64(whole[pick]), pa.array(np.full(int(pick.sum()), doc))], names=names)
+                keys, first, content, whole, p32 = r
+                stop = np.append(first[1:], len(whole))
+                for k in np.flatnonzero(np.isin(content.view(np.int64), marks.values.to_numpy())):
+                    rows.append((int(keys[k].view(np.int64)), doc, raw[first[k] : stop[k] + window - 1]))
+                if len(hot.values):
+                    pick = np.repeat(np.isin(content.view(np.int64), hot.values.to_numpy()), stop - first)
+                    longer = least_over(_pair(p32[:-_Q], p32[_Q:]), window - 2 * _Q + 1)
+                    found.append((longer[pick], whole[pick], doc))
+                    size += len(found[-1][0])
+                if len(rows) > 5_000:
+                    yield made()
+                if size > 1_000_000:
+                    yield from _met_windows(found)
+                    found, size = [], 0
+        if rows:
+            yield made()
+        if size:
+            yield from _met_windows(found)
+
+    return docs.mapInArrow(run, "key long, doc long, last long, whole long, bytes binary")
+
+
+def later_windows(docs: list[int], contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(doc, pointer)`` of windows of ``contents`` that a smaller document has too."""
+    size = np.array(list(map(len, contents)))
+    _, whole = pointers(b"".join(contents), window)
+    start = np.cumsum(size) - size
+    count = size - window + 1
+    at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    w, d = whole[at], np.repeat(np.array(docs, np.int64), count)
+    o = np.lexsort((d, w))
+    w, d = w[o], d[o]
+    head = np.concatenate([[True], w[1:] != w[:-1]])
+    least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
+    new = d > least
+    new[1:] &= (w[1:] != w[:-1]) | (d[1:] != d[:-1])
+    return d[new], w[new]
+
+
+def _compare_met(opened: DataFrame, window: int) -> DataFrame:
+    """Repeated windows of runs that were dealt and sorted by key."""
+
+    def run(batches):
+        keys: list[int] = []
+        docs: list[int] = []
+        contents: list[bytes] = []
+
+        def made(n: int):
+            d, w = later_windows(docs[:n], contents[:n], window)
+            del keys[:n], docs[:n], contents[:n]
+            return pa.RecordBatch.from_arrays([pa.array(d), _i64(w)], names=["doc", "mark"])
+
+        for b in batches:
+            keys += b.column(0).to_pylist()
+            docs += b.column(1).to_pylist()
+            contents += b.column(2).to_pylist()
+            n = len(keys)
+            while n and keys[n - 1] == keys[-1]:  # the last key may go on in the next batch
+                n -= 1
+            if n:
+                yield made(n)
+        if keys:
+            yield made(len(keys))
 
-    return docs.mapInArrow(run, "key long, whole long, doc long")
+    return opened.mapInArrow(run, "doc long, mark long")
 
 
 def repeated_bytes(raw: bytes, window: int, marks: np.ndarray) -> np.ndarray | None:
@@ -159,7 +266,10 @@ def repeated_bytes(raw: bytes, window: int, marks: np.ndarray) -> np.ndarray | N
     again = np.zeros(count, bool)
     if len(marks):
         again |= np.repeat(np.isin(content.view(np.int64), marks), length)
-        again |= np.isin(whole.view(np.int64), marks)
+        near = np.zeros(1 << 16, bool)  # most windows are told apart by 16 bits
+        near[marks & 0xFFFF] = True
+        at = np.flatnonzero(near[whole & np.uint64(0xFFFF)])
+        again[at] |= np.isin(whole[at].view(np.int64), marks)
     twice = keys_met_again(np.repeat(keys, length), p32, window)
     if len(twice):
         suspects = np.isin(keys, twice)
@@ -181,16 +291,26 @@ def find_repeats(docs: DataFrame, window: int) -> DataFrame:
     texts = docs.where(F.octet_length("text") >= window)
     shared = _emit_runs(texts, window, False).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     runs = materialize(_emit_runs(texts, window, True).join(shared, "key"), "suffix-runs")
-    contents = runs.groupBy("key", "content").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    contents = materialize(contents, "suffix-contents")
+    contents = materialize(runs.groupBy("key", "content").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "suffix-contents")
     whole = runs.join(contents.where("last > first").select("key", "content", "first"), ["key", "content"]).where("doc > first").select("doc", F.col("content").alias("mark"))
-    mixed = contents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    open_ = contents.join(mixed, "key").select(F.col("first").alias("doc"), F.col("content").alias("mark"))
-    lists = open_.groupBy("doc").agg(F.collect_set("mark").alias("marks"))
-    windows = materialize(_emit_windows(texts.join(lists, "doc").select("doc", "text", "marks"), window), "suffix-windows")
-    earliest = windows.groupBy("key", "whole").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first").select("key", "whole", "first")
-    single = windows.join(earliest, ["key", "whole"]).where("doc > first").select("doc", F.col("whole").alias("mark"))
-    return whole.union(single).groupBy("doc").agg(F.collect_set("mark").alias("marks"))
+    mixed = contents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    open_ = contents.join(mixed, "key").select(F.col("first").alias("doc"), "content", (F.col("n") > GROUP).alias("hot"))
+    lists = open_.groupBy("doc").agg(F.collect_set(F.when(~F.col("hot"), F.col("content"))).alias("marks"), F.collect_set(F.when(F.col("hot"), F.col("content"))).alias("hot"))
+    opened = materialize(_emit_open(texts.join(lists, "doc").select("doc", "text", "marks", "hot"), window), "suffix-open")
+    met = opened.where("bytes is not null").select("key", "doc", "bytes").repartition("key").sortWithinPartitions("key")
+    windows = opened.where("whole is not null").groupBy("key", "whole")
+    again = windows.agg(F.min("doc").alias("first"), F.max("last").alias("last")).where("last > first").select("key", "whole", "first")
+    again = materialize(again, "suffix-again")
+    chunks = again.join(again.groupBy("key").agg(F.ceil(F.count("*") / LIST).alias("n")), "key").withColumn("chunk", F.pmod(F.xxhash64("whole"), F.col("n")))
+    chunks = chunks.groupBy("key", "chunk").agg(F.collect_list(F.struct("whole", "first")).alias("met"))
+    # a window that starts in an earlier document may be marked whether or not this one has it
+    earlier = F.transform(F.filter("met", lambda w: w["first"] < F.col("doc")), lambda w: w["whole"])
+    large = opened.where("whole is null and bytes is null").select("key", "doc").distinct().join(chunks, "key").select("doc", earlier.alias("marks"))
+    small = whole.union(_compare_met(met, window)).groupBy("doc").agg(F.collect_set("mark").alias("marks"))
+    marks = small.union(large.groupBy("doc").agg(F.flatten(F.collect_list("marks")))).groupBy("doc").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    marks = materialize(marks, "suffix-marks")
+    discard(runs, contents, opened, again)
+    return marks
 
 
 def deduplicate(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
