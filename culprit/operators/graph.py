@@ -36,8 +36,11 @@ def basename(path: Column) -> Column:
 
 def short_id(node: Column) -> Column:
     """File name and the last named part of an id."""
-    parts = F.filter(F.split(node, "::"), lambda p: p != "")
-    return F.when(F.size(parts) > 1, F.concat(basename(F.get(parts, F.lit(0))), F.lit("::"), F.element_at(parts, -1))).otherwise(basename(node))
+    parts = F.split(node, "::")
+    before = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise("")
+    tail = F.when(F.element_at(parts, -1) != "", F.element_at(parts, -1)).otherwise(before)
+    name = basename(F.get(parts, F.lit(0)))
+    return F.when(tail != "", F.concat(name, F.lit("::"), tail)).otherwise(name)
 
 
 def first_by_id(rows: DataFrame, *order: str, key: str = "id") -> DataFrame:
