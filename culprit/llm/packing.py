@@ -12,6 +12,9 @@ same documents to the same sequences again.
 from __future__ import annotations
 
 import zlib
+from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,25 +37,39 @@ class ChunkIds(dict):
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def fill(self, keys: list[str]) -> dict[str, bytes]:
-        made = self.tok.encode_batch_fast([k if k[:1] == "\n" else " " + k for k in keys], add_special_tokens=False)
-        got = {k: np.array(e.ids, "<u4").tobytes() for k, e in zip(keys, made, strict=True)}
+        spoken = [k if k[:1] == "\n" else " " + k for k in keys]
+        made = self.tok.encode_batch_fast(spoken, add_special_tokens=False)
+        got = {k: array("I", e.ids).tobytes() for k, e in zip(keys, made, strict=True)}
         if (room := self.cap - len(self)) > 0:
             self.update(list(got.items())[:room])
         return got
 
-    def ids(self, text: str) -> bytes:
-        """The ids of a whole text as the library gives them."""
-        if not text:
-            return b""
-        if not self.plain or (self.special is not None and self.special.search(text)):
-            return self.whole(text)
-        first, rest = chunks_of(text)
-        head = self.whole(first) if first else b""
-        parts = list(map(self.get, rest))
-        if None in parts:
-            new = self.fill(list({k for k, p in zip(rest, parts, strict=True) if p is None}))
-            parts = [new[k] if p is None else p for k, p in zip(rest, parts, strict=True)]
-        return head + b"".join(parts)
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of whole texts as the library gives them; their new chunks are encoded together."""
+        cut: list[tuple[str, list[str]] | None] = []
+        new: set[str] = set()
+        for t in texts:
+            if not self.plain or (self.special is not None and self.special.search(t)):
+                cut.append(None)
+            else:
+                cut.append(chunks_of(t))
+                new.update(cut[-1][1])
+        new.difference_update(self.keys())
+        extra = self.fill(list(new)) if new else {}
+        for t, c in zip(texts, cut, strict=True):
+            if c is None or not t:
+                yield self.whole(t) if t else b""
+                continue
+            parts = list(map(self.get, c[1]))
+            if None in parts:
+                parts = [extra[k] if p is None else p for k, p in zip(c[1], parts, strict=True)]
+            yield (self.whole(c[0]) if c[0] else b"") + b"".join(parts)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> ChunkIds:
+    """A worker keeps its table for its next tasks; results don't depend on what is in it."""
+    return ChunkIds(path)
 
 
 class CapacityTree:
@@ -163,13 +180,18 @@ def pack(
     def emit(cols: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=out)
 
+    def encoded(table: ChunkIds, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            yield from zip(part.column(0).to_pylist(), table.ids([t or "" for t in part.column(1).to_pylist()]), strict=True)
+
     def run(batches):
-        encoder, base = ChunkIds(tokenizer_path), TaskContext.get().partitionId() << 32
+        table, base = encoder(tokenizer_path), TaskContext.get().partitionId() << 32
         free, rests = 0, []
         for batch in batches:
             full: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.ids(text or "") + tail
+            for doc, ids in encoded(table, batch):
+                ids += tail
                 n = len(ids) // 4
                 for start in range(0, n - window + 1, window):
                     full.append((doc, start, window, zlib.crc32(ids[4 * start : 4 * (start + window)]), n, base + free, 0))

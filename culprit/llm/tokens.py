@@ -21,6 +21,7 @@ import json
 import os
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,8 +141,9 @@ class ChunkCounter(dict):
         return [len(self.tok.encode(t, add_special_tokens=False)) if ks is None else sum(map(known.__getitem__, ks)) for t, ks in zip(ts, keys, strict=True)]
 
 
+@lru_cache(maxsize=2)
 def text_counter(path: str):
-    """A function from texts to token counts for a ``.json`` or ``.model`` file."""
+    """A function from texts to token counts for a ``.json`` or ``.model`` file; a worker keeps it for its next tasks."""
     if path.endswith(".model"):
         import sentencepiece
 
