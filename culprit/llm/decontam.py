@@ -15,16 +15,18 @@ item doesn't shorten the jumps for long windows.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from culprit.llm.common import arrow_map
+from culprit.llm.common import discard, materialize
 
-#: Bytes of benchmark text that one search round may ship to the executors.
-PATTERN_BYTES = 16 << 20
+#: Bytes of windows that one pass ships to the executors.
+PATTERN_BYTES = 8 << 20
 
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -36,16 +38,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def windows_of(items: list[tuple[str, str]], width: int) -> dict[bytes, set[str]]:
-    """Pattern strings with the ids of the items that have them."""
-    found: dict[bytes, set[str]] = defaultdict(set)
-    for item, text in items:
-        w = words_of(text)
-        for k in range(max(1, len(w) - width + 1)) if w else ():
-            found[b" " + b" ".join(w[k : k + width]) + b" "].add(item)
-    return dict(found)
-
-
 class WuManber:
     """Search for patterns of at least ``m`` bytes: shift table, buckets, comparison."""
 
@@ -87,19 +79,49 @@ def searchers(patterns: list[bytes]) -> list[WuManber]:
     return [WuManber(ps, 10 if k >= 6 else 4) for k, ps in sorted(classes.items())]
 
 
-def _groups(items: list[tuple[str, str]], limit: int) -> list[list[tuple[str, str]]]:
-    """Items in groups of at most ``limit`` bytes of text (one item may exceed it)."""
-    out, size = [[]], 0
-    for item in items:
-        n = len(item[1]) * 4
-        if out[-1] and size + n > limit:
-            out.append([])
-            size = 0
-        out[-1].append(item)
-        size += n
+def window_groups(items: Iterable[tuple[str, str]], width: int, limit: int) -> Iterator[dict[bytes, set[str]]]:
+    """Windows with their items, in groups of about ``limit`` bytes of windows; a long item may be in several groups."""
+    found: dict[bytes, set[str]] = defaultdict(set)
+    size = 0
+    for item, text in items:
+        w = words_of(text)
+        for k in range(max(1, len(w) - width + 1)) if w else ():
+            pattern = b" " + b" ".join(w[k : k + width]) + b" "
+            found[pattern].add(item)
+            size += len(pattern)
+            if size >= limit:
+                yield dict(found)
+                found, size = defaultdict(set), 0
+    if found:
+        yield dict(found)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans ``[first, end)`` in order that cover the same words."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(z, out[-1][1])
+        else:
+            out.append((a, z))
     return out
 
 
+def occurrences(words: list[bytes], search: list[WuManber], table: dict[bytes, set[str]]) -> tuple[list[tuple[int, int]], set[str]]:
+    """Spans of words inside occurrences of the table's windows, and the items that have those."""
+    line = b" " + b" ".join(words) + b" "
+    found: dict[int, int] = {}
+    items: set[str] = set()
+    for s in search:
+        for start, p in s.find(line):
+            found[start] = max(found.get(start, 0), p.count(b" ") - 1)
+            items |= table[p]
+    if not found:
+        return [], items
+    place = {at: k for k, at in enumerate(accumulate((len(w) + 1 for w in words), initial=0)) if at in found}
+    return merged([(place[at], place[at] + n) for at, n in found.items()]), items
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -113,65 +135,62 @@ def decontaminate(
 ) -> DataFrame:
     """Per document: words, hit words, items with windows in it.
 
-    The benchmark is read by the driver in groups of ``pattern_bytes``; each
-    group's tables are shipped with the tasks, and a larger benchmark is
-    searched group by group in the same pass over the documents.  Documents are never
-    shuffled.  Null texts have no words; empty benchmark items have no window;
-    repeated items and rows are handled like others; an empty benchmark leaves
-    every document clean.  ``keep`` names columns to carry along.  Returns
-    ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and ``keep``.
+    The driver streams the benchmark and ships its windows in groups of
+    ``pattern_bytes``, one group at a time: a benchmark of more than one group is
+    searched in one pass over the documents a group, whose finds are written
+    between the passes, so what is broadcast has that bound whatever the
+    benchmark.  Documents are never shuffled.  Null texts have no words; empty
+    benchmark items have no window; repeated items and rows are handled like
+    others; an empty benchmark leaves every document clean.  ``keep`` names
+    columns to carry along.  Returns ``doc_id, n_words, n_hit, n_items,
+    items_sha256, contaminated`` and ``keep``.
     """
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull())
-    groups = _groups([(r[0], r[1]) for r in rows.toLocalIterator()], pattern_bytes)
-    tables = [windows_of(g, width) for g in groups if g]
-    spark = docs.sparkSession
-    shipped = [spark.sparkContext.broadcast(t) for t in tables if t]
-    kept = [docs.schema[k] for k in keep]
-    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    out = pa.schema(
-        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
-    )
-    clean = hashlib.sha256(b"").hexdigest()
+    groups = window_groups(((r[0], r[1]) for r in rows.toLocalIterator()), width, pattern_bytes)
+    carried = [T.StructField(f"keep_{i}", docs.schema[k].dataType) for i, k in enumerate(keep)]
+    found = docs.select(
+        docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"),
+        *(docs[k].alias(f.name) for k, f in zip(keep, carried, strict=True)),
+    )
+    schema = _schema([("doc_id", T.LongType()), ("text", T.StringType()), ("spans", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType()))], carried)
+    group, passed = next(groups, {}), []
+    while (later := next(groups, None)) is not None:
+        shipped = docs.sparkSession.sparkContext.broadcast(group)
+        found = materialize(found.mapInArrow(_pass(shipped, len(carried)), schema), "decontam-pass")
+        shipped.destroy()
+        discard(*passed)
+        passed, group = [found], later
+    schema = _schema([*((n, T.LongType()) for n in ("doc_id", "n_words", "n_hit", "n_items")), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())], carried)
+    result = found.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(group), len(carried), last=True), schema)
+    return result.toDF(*schema.names[:6], *keep)
+
+
+def _schema(fields: list[tuple[str, T.DataType]], carried: list[T.StructField]) -> T.StructType:
+    return T.StructType([*(T.StructField(n, t) for n, t in fields), *carried])
+
+
+def _pass(shipped: Broadcast, extra: int, last: bool = False):
+    """Search one group of windows in ``doc_id, text, spans, items`` rows: those rows with its finds, or the results."""
 
     def run(batches):
-        search = [(s, table.value) for table in shipped for s in searchers(list(table.value))]
+        table = shipped.value
+        search = searchers(list(table))
         for batch in batches:
-            result = []
-            for text in batch.column(1).to_pylist():
+            out = []
+            for text, before, had in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 words = words_of(text) if text else []
-                if not words:
-                    result.append((0, 0, 0, clean, False))
+                spans, items = occurrences(words, search, table) if words and table else ([], set())
+                spans = merged(spans + list(zip(before[::2], before[1::2], strict=True))) if before else spans
+                items |= set(had)
+                if not last:
+                    out.append(([x for s in spans for x in s], sorted(items)))
                     continue
-                line = b" " + b" ".join(words) + b" "
-                spans, items = [], set()
-                for s, table in search:
-                    for start, p in s.find(line):
-                        spans.append((start, start + len(p) - 1))
-                        items |= table[p]
-                if not spans:
-                    result.append((len(words), 0, 0, clean, False))
-                    continue
-                starts, at = [], 0  # offset of the space before each word
-                for w in words:
-                    starts.append(at)
-                    at += len(w) + 1
-                hit, seen = 0, 0
-                for a, z in sorted(spans):
-                    lo, hi = max(seen, bisect_left(starts, a)), bisect_right(starts, z - 1)
-                    if hi > lo:
-                        hit, seen = hit + hi - lo, hi
-                digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-                result.append((len(words), hit, len(items), digest, 20 * hit >= len(words)))
-            cols = list(zip(*result, strict=True)) if result else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, out.field(n).type) for c, n in zip(cols, names, strict=True)), *(batch.column(2 + i) for i in range(len(kept)))],
-                names=["doc_id", *names, *(k.name for k in kept)],
-            )
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
-         T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), *kept]
-    )
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("__text"), *keep).mapInArrow(run, schema)
+                hit = sum(z - a for a, z in spans)
+                out.append((len(words), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0 and 20 * hit >= len(words)))
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_()] if last else [pa.list_(pa.int64()), pa.list_(pa.string())]
+            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
+            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] if last else ["doc_id", "text", "spans", "items"]
+            columns = [*batch.columns[: 1 if last else 2], *made, *batch.columns[4:]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(f"keep_{i}" for i in range(extra))])
+
+    return run
