@@ -16,13 +16,14 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from culprit.llm.common import shared_dir
 
-#: Records in a file at most; files are read whole by one task each.
+#: Records in a file at most; one task reads a file, and its compressed bytes are in memory whole.
 FILE_RECORDS = 2_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -72,19 +73,20 @@ def write_archive(records: DataFrame, path: str) -> None:
     records.select(head.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def records_in(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive's plain bytes."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        first, *lines = content[at:end].decode("utf-8", "replace").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4
-        stop = start + int(headers["content-length"])
-        yield headers, content[start:stop]
-        at = stop + 4
+def records_in(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of an archive, one record in memory at a time."""
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no record where one should begin: {first[:40]!r}")
+        headers = {}
+        while line := stream.readline().strip():
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            headers[k.lower()] = v.strip()
+        size = int(headers["content-length"])
+        block = stream.read(size)
+        if len(block) < size or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {headers.get('warc-record-id')} is cut off")
+        yield headers, block
 
 
 def _digest(block: bytes) -> str:
@@ -105,7 +107,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for h, block in records_in(gzip.decompress(content.as_buffer())):
+                for h, block in records_in(gzip.open(pa.BufferReader(content.as_buffer()))):
                     revisit = h["warc-type"] == "revisit"
                     digest, n = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"])
                     if not revisit and (digest, n) != (_digest(block), len(block)):

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 
 import numpy as np
 import pytest
@@ -34,7 +35,9 @@ def test_warc_round_trip(spark):
 
 def test_records_need_a_version_line():
     with pytest.raises(ValueError):
-        list(records_in(b"HTTP/1.1 200\r\n\r\n"))
+        list(records_in(io.BytesIO(b"HTTP/1.1 200\r\n\r\n")))
+    with pytest.raises(ValueError):
+        list(records_in(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")))
 
 
 def test_hnsw_recall():
