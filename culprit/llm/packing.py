@@ -152,6 +152,24 @@ def fill_gaps(sequences: list[list[tuple[int, int, int]]], window: int, least: i
     return [sequences[s] for s in order[:keep]]
 
 
+def powers_of_two(sequence: list[tuple[int, int, int]], size: int) -> list[list[tuple[int, int, int]]]:
+    """A sequence of ``size`` ids as sequences whose sizes are powers of two, the largest first."""
+    out: list[list[tuple[int, int, int]]] = []
+    rest = list(reversed(sequence))
+    while size:
+        room = 1 << (size.bit_length() - 1)
+        size -= room
+        out.append([])
+        while room:
+            item, start, length = rest.pop()
+            part = min(length, room)
+            out[-1].append((item, start, part))
+            room -= part
+            if part < length:
+                rest.append((item, start + part, length - part))
+    return out
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -165,7 +183,8 @@ def pack(
     """Pack every document into sequences of at most ``window`` ids.
 
     After best-fit decreasing, the emptiest sequences are cut into the gaps of
-    at least ``least_gap`` ids that the others have left.
+    at least ``least_gap`` ids that the others have left; what is then still
+    emptier than that is cut to sequences of a power of two, which need no padding.
 
     A null text counts as empty and still gives its closing id.  Rows with a
     null or repeated id are packed like any other; an empty table gives no
@@ -207,7 +226,11 @@ def pack(
             for k, s in enumerate(sequence.tolist()):
                 content[s].append((k, 0, int(lengths[k])))
             pieces = []
-            for s, parts in enumerate(fill_gaps(content, window, least_gap)):
+            packed: list[list[tuple[int, int, int]]] = []
+            for parts in fill_gaps(content, window, least_gap):
+                size = sum(p[2] for p in parts)
+                packed += [parts] if window - size < least_gap else powers_of_two(parts, size)
+            for s, parts in enumerate(packed):
                 offset = 0
                 for k, start, length in parts:
                     doc, first, n, ids = rests[k]
