@@ -21,49 +21,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from culprit.llm.tokens import CHUNK_TABLE, chunks_of, is_plain_byte_level, load_tokenizer, special_pattern
+from culprit.llm.tokens import ChunkTable
 
 
-class ChunkIds(dict):
-    """Little-endian uint32 ids by chunk key; ``fill`` encodes the missing ones in one call."""
+class ChunkIds(ChunkTable):
+    """Little-endian uint32 ids."""
 
-    def __init__(self, path: str, cap: int = CHUNK_TABLE):
-        super().__init__()
-        self.tok, self.cap = load_tokenizer(path), cap
-        self.plain = is_plain_byte_level(path)
-        self.special = special_pattern(self.tok)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def fill(self, keys: list[str]) -> dict[str, bytes]:
-        spoken = [k if k[:1] == "\n" else " " + k for k in keys]
-        made = self.tok.encode_batch_fast(spoken, add_special_tokens=False)
-        got = {k: array("I", e.ids).tobytes() for k, e in zip(keys, made, strict=True)}
-        if (room := self.cap - len(self)) > 0:
-            self.update(list(got.items())[:room])
-        return got
+    def encoded(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of whole texts as the library gives them; their new chunks are encoded together."""
-        cut: list[tuple[str, list[str]] | None] = []
-        new: set[str] = set()
-        for t in texts:
-            if not self.plain or (self.special is not None and self.special.search(t)):
-                cut.append(None)
-            else:
-                cut.append(chunks_of(t))
-                new.update(cut[-1][1])
-        new.difference_update(self.keys())
-        extra = self.fill(list(new)) if new else {}
-        for t, c in zip(texts, cut, strict=True):
-            if c is None or not t:
-                yield self.whole(t) if t else b""
-                continue
-            parts = list(map(self.get, c[1]))
-            if None in parts:
-                parts = [extra[k] if p is None else p for k, p in zip(c[1], parts, strict=True)]
-            yield (self.whole(c[0]) if c[0] else b"") + b"".join(parts)
+        """The ids of whole texts as the library gives them."""
+        for first, values in self.look_up(texts):
+            head = np.array(self.tok.encode(first, add_special_tokens=False).ids, "<u4").tobytes() if first else b""
+            yield head + b"".join(values) if values else head
 
 
 @lru_cache(maxsize=2)

@@ -6,11 +6,11 @@ vocabulary strings encode alone as exactly one token (the string is its own
 pre-token and its merges end in its id).  A pre-token of that set counts one;
 only the rest are merged.
 
-Pre-tokens are found per *chunk*.  A single white-space character between two
-others that are no white space is always a pre-token boundary of the byte-level
-pattern: before a space (the space leads the next pre-token) and around a line
-feed.  So a text is cut there with ``str.split`` and the sum over its chunks is
-exact.  Chunks repeat, and their results are remembered in a bounded table.
+Pre-tokens are found per *chunk*.  The last white-space character of a run,
+before a character that is none, always begins a pre-token of the byte-level
+pattern: a space leads the next pre-token, any other stands alone.  So a text is
+cut at such spaces and line feeds with ``str.split`` and the sum over its chunks
+is exact.  Chunks repeat, and their results are remembered in a bounded table.
 Texts with special strings, or tokenizers of another kind, go through the
 library as they are.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame
 from culprit.llm.common import arrow_map, texts
 
 #: Entries of a worker's chunk table; beyond it, chunks are encoded each time.
-CHUNK_TABLE = 400_000
+CHUNK_TABLE = 800_000
 
-_TWO_SPACES = re.compile(r"\s\s|\s\Z|\A\s")
 _CUT = re.compile(r" (?=\S)")
 _BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -82,63 +81,93 @@ def whole_tokens(tok) -> dict[str, int]:
     return proven
 
 
+def is_cut(key: str) -> bool:
+    """Whether a key is cut off at a boundary: a character that is no white space follows the cut one."""
+    c = key[1:2] if key[:1] == "\n" else key[:1]
+    return c != "" and not c.isspace()
+
+
+def at_spaces(text: str) -> list[str]:
+    return text.replace("\n", " \n").split(" ")
+
+
 def chunks_of(text: str) -> tuple[str, list[str]]:
     """``text`` as its first chunk and the keys of the others.
 
     A key that begins with a line feed stands for itself, any other for itself
     with a space before it.
     """
-    if _TWO_SPACES.search(text) is None:
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return first, rest
-    first, *rest = _CUT.split(text)
+    first, *rest = at_spaces(text)
+    if not all(map(is_cut, rest)):
+        first, *rest = _CUT.split(text)
     return first, rest
 
 
-class ChunkCounter(dict):
-    """Number of tokens by chunk key, filled as texts need them."""
+class ChunkTable(dict):
+    """What :meth:`encoded` makes of chunks, by key and filled as texts need it."""
 
     def __init__(self, path: str, cap: int = CHUNK_TABLE):
-        import regex
-
         super().__init__()
         self.tok, self.cap = load_tokenizer(path), cap
+        self.plain, self.special = is_plain_byte_level(path), special_pattern(self.tok)
+
+    def encoded(self, chunks: list[str]) -> list:
+        raise NotImplementedError
+
+    def look_up(self, texts: list[str]) -> Iterator[tuple[str, list | None]]:
+        """Each text's first chunk and the values of its others; the text and None where the chunk rule doesn't hold.
+
+        Only keys that the table lacks are looked at one by one, and all that
+        some texts lack are encoded in one call.  A key that isn't cut off at a
+        boundary never enters the table, so it is always seen here.
+        """
+        get, found, new = self.get, [], set()
+        for t in texts:
+            if not self.plain or (self.special is not None and self.special.search(t)):
+                found.append((t, None, None))
+                continue
+            first, *keys = at_spaces(t)
+            values = list(map(get, keys))
+            if None in values:
+                lacking = [k for k, v in zip(keys, values, strict=True) if v is None]
+                if not all(map(is_cut, lacking)):
+                    first, *keys = _CUT.split(t)
+                    values = list(map(get, keys))
+                    lacking = [k for k, v in zip(keys, values, strict=True) if v is None]
+                new.update(lacking)
+                found.append((first, values, keys))
+            else:
+                found.append((first, values, None))
+        fresh = {}
+        if new:
+            keys = list(new)
+            fresh = dict(zip(keys, self.encoded([k if k[:1] == "\n" else " " + k for k in keys]), strict=True))
+            if (room := self.cap - len(self)) > 0:
+                self.update(fresh if len(fresh) <= room else list(fresh.items())[:room])
+        for first, values, keys in found:
+            yield first, [fresh[k] if v is None else v for k, v in zip(keys, values, strict=True)] if keys is not None else values
+
+
+class ChunkCounter(ChunkTable):
+    """Numbers of tokens: whole tokens count one, all other pre-tokens are merged."""
+
+    def __init__(self, path: str, cap: int = CHUNK_TABLE):
+        import regex
+
+        super().__init__(path, cap)
         self.whole = frozenset(whole_tokens(self.tok))
         self.split = regex.compile(_BYTE_LEVEL_SPLIT).findall
-        self.special = special_pattern(self.tok)
-
-    def fill(self, keys: set[str]) -> dict[str, int]:
-        """Counts of new chunks: whole tokens count one, all other pre-tokens are merged in one call."""
-        split, whole = self.split, self.whole
-        pre = {k: split(k if k[:1] == "\n" or k[:1] == "\0" else " " + k) for k in keys}
-        for k in keys:
-            if k[:1] == "\0":  # a text's first chunk has no space before it
-                pre[k] = split(k[1:])
-        rest = list({p for ps in pre.values() for p in ps if p not in whole})
+
+    def encoded(self, chunks: list[str]) -> list[int]:
+        whole, parts = self.whole, [[c] if c in self.whole else self.split(c) for c in chunks]
+        rest = list({p for ps in parts for p in ps if p not in whole})
         merged = dict(zip(rest, map(len, self.tok.encode_batch_fast(rest, add_special_tokens=False)), strict=True)) if rest else {}
-        get = merged.get
-        got = {k: sum([get(p, 1) for p in ps]) for k, ps in pre.items()}
-        if (room := self.cap - len(self)) > 0:
-            self.update(list(got.items())[:room])
-        return got
-
-    def count_all(self, ts: list[str]) -> list[int]:
-        """Counts of some texts; their new chunks are encoded together."""
-        special = self.special.search if self.special is not None else lambda t: None
-        keys: list[list[str] | None] = []
-        for t in ts:
-            if special(t) or "\0" in t:
-                keys.append(None)
-            else:
-                first, rest = chunks_of(t)
-                keys.append(["\0" + first, *rest] if first else rest)
-        new: set[str] = set()
-        for ks in keys:
-            new.update(ks or ())
-        new.difference_update(self.keys())
-        extra = self.fill(new) if new else {}
-        known = self if len(self) < self.cap else {**extra, **{k: self[k] for ks in keys for k in ks or () if k in self}}
-        return [len(self.tok.encode(t, add_special_tokens=False)) if ks is None else sum(map(known.__getitem__, ks)) for t, ks in zip(ts, keys, strict=True)]
+        return [sum([merged.get(p, 1) for p in ps]) for ps in parts]
+
+    def count_all(self, texts: list[str]) -> list[int]:
+        """Counts of some texts."""
+        alone = lambda t: len(self.tok.encode(t, add_special_tokens=False)) if t else 0
+        return [alone(first) + sum(values or ()) for first, values in self.look_up(texts)]
 
 
 @lru_cache(maxsize=2)

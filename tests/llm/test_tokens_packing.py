@@ -14,7 +14,7 @@ from culprit.llm.tokens import chunks_of, count_tokens, whole_tokens
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
     None, "", " ", "  ", "\n", " a", "a ", "a  b", "a\n\nb", "a \n b", "x\ny", "it's we'll 's", "Héllo wörld ñ 日本語 テキスト", "<|endoftext|> in <|endoftext|>",
-    "tab\tnew\r\nline\x0b\x1c.", "nbsp here   wide", "a" * 5000, "12345 678 9", "!!! ??? ...", "emoji 👩‍👩‍👧 end", "null\x00byte here", "word " * 3000,
+    "tab\tnew\r\nline\x0b\x1c.", "nbsp here   wide", "a" * 5000, "12345 678 9", "!!! ??? ...", "emoji 👩‍👩‍👧 end", "a\t b", "a\t  b", "a \tb", "a \n\n b\n c", "\n\na\n", "a\x1c b \x1fc", " \xa0x \u3000 y", "null\x00byte here", "word " * 3000,
 ]
 
 
