@@ -25,6 +25,8 @@ from culprit.llm.hnsw import Hnsw
 SHARD = 16_384
 #: Shards at least, so that small tables use several tasks.
 LEAST_SHARDS = 6
+#: Widest beam; beyond it a block of queries is compared with the whole shard.
+WIDEST = 256
 #: Share of the audited queries' links that a beam must find.
 RECALL = 0.995
 
@@ -34,35 +36,45 @@ def _audit_rows(n: int) -> np.ndarray:
 
 
 def search_links(index: Hnsw, exact: np.ndarray, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Links ``(query row, index row)`` with cosine at least ``least``, and the beam that the audit asked for."""
-    q32, n = q.astype(np.float32), len(exact)
+    """Links ``(query row, index row)`` with cosine at least ``least``, and the beam for the next block.
+
+    Beams that are full of links widen, and so do all beams of the block until
+    the audit passes.  What a beam of ``WIDEST`` can't settle - queries with more
+    links than that, or a block whose links the graph doesn't reach - is compared
+    with the whole shard.
+    """
+    q32, n, widest = q.astype(np.float32), len(exact), min(WIDEST, len(exact) - 1)
     near = least - 1e-5
 
+    def compared(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.nonzero(q[rows] @ exact.T >= near)
+        return rows[a], b
+
     def links(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        found_a, found_b = [], []
-        while len(rows):
-            ids, sims = index.search(q32[rows], min(width, n))
+        found = []
+        while len(rows) and width <= widest:
+            ids, sims = index.search(q32[rows], width)
             hit = (sims >= near) & (ids >= 0)
-            full = hit.all(axis=1) & (width < n)
+            full = hit.all(axis=1)
             r, c = np.nonzero(hit & ~full[:, None])
-            found_a.append(rows[r])
-            found_b.append(ids[r, c])
+            found.append((rows[r], ids[r, c]))
             rows, width = rows[full], 4 * width
-        a, b = np.concatenate(found_a) if found_a else np.zeros(0, int), np.concatenate(found_b) if found_b else np.zeros(0, int)
+        if len(rows):
+            found.append(compared(rows))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def verified(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = np.einsum("ij,ij->i", q[a], exact[b]) >= least
         return a[keep], b[keep]
 
-    audit = _audit_rows(len(q))
-    want_a, want_b = np.nonzero(q[audit] @ exact.T >= least)
-    while True:
-        a, b = links(np.arange(len(q)), ef)
-        if ef >= n:
-            break
-        got = len(np.intersect1d(a * n + b, audit[want_a] * n + want_b))
-        if got >= RECALL * len(want_a):
-            break
-        ef *= 2
-    return a, b, ef
+    audit, every, beam = _audit_rows(len(q)), np.arange(len(q)), ef
+    want = verified(*compared(audit))
+    while beam <= widest:
+        a, b = verified(*links(every, beam))
+        if len(np.intersect1d(a * n + b, want[0] * n + want[1])) >= RECALL * len(want[0]):
+            return a, b, beam
+        beam *= 2
+    return *verified(*compared(every)), ef
 
 
 class Forest:

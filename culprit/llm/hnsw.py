@@ -3,7 +3,8 @@
 Insertion and search follow the usual scheme (random levels, greedy descent,
 beam search at the lower layers, neighbours chosen for diversity), but a whole
 batch of points or queries moves through the graph in lockstep, so every step
-is a few array operations.
+is a few array operations.  The beam through the layers above the lowest is as
+wide as they are (one matrix product), as tight clusters may be islands there.
 """
 
 from __future__ import annotations
@@ -25,21 +26,35 @@ class Hnsw:
         top = int(levels.max()) if n else 0
         self.links = [np.full((n, m if k else 2 * m), -1, np.int32) for k in range(top + 1)]
         self.entry = int(order[0]) if n else -1
+        self.upper = order[: int((levels > 0).sum())]
         done, size = 1, 1
         while done < n:
-            part = order[done : done + size]
+            part = order[done : min(done + size, len(self.upper) if done < len(self.upper) else n)]
             self._insert(part)
             done += len(part)
             size = min(batch, max(1, done // 2))
+        if n:
+            self.upper = np.concatenate([self.upper, self._orphans()])
+
+    def _orphans(self) -> np.ndarray:
+        """Nodes that no path of the lowest layer reaches from the upper nodes: crowded clusters prune links to them."""
+        seen = np.zeros(len(self.x), bool)
+        front = np.append(self.upper, self.entry)
+        while len(front):
+            seen[front] = True
+            front = np.unique(self.links[0][front])
+            front = front[(front >= 0) & ~seen[front]]
+        return np.flatnonzero(~seen)
 
     def _insert(self, part: np.ndarray) -> None:
         q = self.x[part]
         at = np.full(len(part), self.entry)
         own = self.x[part] @ self.x[part].T
         np.fill_diagonal(own, -2)
-        for layer in range(len(self.links) - 1, -1, -1):
+        low = not self.levels[part].any()
+        for layer in range(0 if low else len(self.links) - 1, -1, -1):
             here = self.levels[part] >= layer
-            ids, sims = self.search_layer(q, at[:, None], layer, self.ef if here.any() else 1)
+            ids, sims = self.search_layer(q, self.entries(q) if low else at[:, None], layer, self.ef if here.any() else 1)
             at = np.where(ids[:, 0] >= 0, ids[:, 0], at)
             if not here.any():
                 continue
@@ -141,10 +156,13 @@ class Hnsw:
         o = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, o, axis=1)[:, :ef], np.take_along_axis(sims, o, axis=1)[:, :ef]
 
+    def entries(self, q: np.ndarray, most: int = 4) -> np.ndarray:
+        """The nodes of the upper layers, and of those that have no path, that are nearest to each query; else the first node."""
+        if len(self.upper) <= most:
+            return np.full((len(q), 1), self.entry)
+        sims = q @ self.x[self.upper].T
+        return self.upper[np.argpartition(-sims, most, axis=1)[:, :most]]
+
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam of width ``ef`` at the lowest layer for each query."""
-        at = np.full((len(q), 1), self.entry)
-        for layer in range(len(self.links) - 1, 0, -1):
-            ids, _ = self.search_layer(q, at, layer, 4)
-            at = np.where(ids[:, :1] >= 0, ids[:, :1], at)
-        return self.search_layer(q, at, 0, ef)
+        return self.search_layer(q, self.entries(q), 0, ef)
