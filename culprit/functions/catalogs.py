@@ -1,4 +1,7 @@
-"""Frozen name catalogs: language primitives, noise words, stop words."""
+"""Name catalogs: language primitives, noise words, stop words.
+
+Fixed values: results depend on exactly these names, so they are listed as they are.
+"""
 
 from __future__ import annotations
 
@@ -10,94 +13,95 @@ def _names(text: str) -> frozenset[str]:
 #: Exceptions that no project defines.
 EXCEPTIONS = _names(
     """
-    IOError OSError KeyError Exception TypeError IndexError SystemExit ValueError ImportError MemoryError
-    RuntimeError TimeoutError BaseException GeneratorExit OverflowError StopIteration AttributeError
-    RecursionError ConnectionError PermissionError FileNotFoundError IsADirectoryError KeyboardInterrupt
-    ZeroDivisionError NotImplementedError
+    AttributeError BaseException ConnectionError Exception FileNotFoundError GeneratorExit ImportError
+    IndexError IOError IsADirectoryError KeyboardInterrupt KeyError MemoryError NotImplementedError OSError
+    OverflowError PermissionError RecursionError RuntimeError StopIteration SystemExit TimeoutError TypeError
+    ValueError ZeroDivisionError
     """
 )
 
 #: Base classes of the language and its library.
 BASE_CLASSES = _names(
     """
-    ABC int set str Enum Flag Lock auto bool dict list type bytes deque float tuple Thread object ABCMeta
-    Counter Generic IntEnum IntFlag StrEnum abc.ABC complex ChainMap Protocol UserDict UserList TypedDict
-    bytearray enum.Enum enum.Flag frozenset NamedTuple UserString memoryview OrderedDict abc.ABCMeta
-    defaultdict enum.IntEnum enum.IntFlag enum.StrEnum typing.Generic typing.Protocol typing.TypedDict
-    collections.deque typing.NamedTuple collections.Counter collections.ChainMap collections.OrderedDict
-    collections.defaultdict
+    ABC abc.ABC abc.ABCMeta ABCMeta auto bool bytearray bytes ChainMap collections.ChainMap
+    collections.Counter collections.defaultdict collections.deque collections.OrderedDict complex Counter
+    defaultdict deque dict Enum enum.Enum enum.Flag enum.IntEnum enum.IntFlag enum.StrEnum Flag float
+    frozenset Generic int IntEnum IntFlag list Lock memoryview NamedTuple object OrderedDict Protocol set str
+    StrEnum Thread tuple type TypedDict typing.Generic typing.NamedTuple typing.Protocol typing.TypedDict
+    UserDict UserList UserString
     """
 )
 
 #: Decorators of the language and its library.
 DECORATORS = _names(
     """
-    cache final wraps partial overload property dataclass lru_cache classmethod staticmethod typing.final
-    no_type_check abstractmethod contextmanager singledispatch total_ordering cached_property functools.cache
-    functools.wraps typing.overload abstractproperty functools.partial runtime_checkable abc.abstractmethod
-    abstractclassmethod asynccontextmanager functools.lru_cache abc.abstractproperty abstractstaticmethod
-    singledispatchmethod typing.no_type_check dataclasses.dataclass functools.singledispatch
-    functools.total_ordering typing.runtime_checkable contextlib.contextmanager functools.cached_property
-    contextlib.asynccontextmanager functools.singledispatchmethod
+    abc.abstractmethod abc.abstractproperty abstractclassmethod abstractmethod abstractproperty
+    abstractstaticmethod asynccontextmanager cache cached_property classmethod contextlib.asynccontextmanager
+    contextlib.contextmanager contextmanager dataclass dataclasses.dataclass final functools.cache
+    functools.cached_property functools.lru_cache functools.partial functools.singledispatch
+    functools.singledispatchmethod functools.total_ordering functools.wraps lru_cache no_type_check overload
+    partial property runtime_checkable singledispatch singledispatchmethod staticmethod total_ordering
+    typing.final typing.no_type_check typing.overload typing.runtime_checkable wraps
     """
 )
 
 #: Method names that belong to built-in types.
 METHODS = _names(
     """
-    add end get hex pop copy find join keys read seek send sort span tell wait clear close count flush group
-    index items ljust lower rfind rjust split start strip throw title union upper write zfill append as_uri
-    center decode encode exists extend format groups insert is_dir lstrip notify remove rindex rsplit rstrip
-    update values acquire discard fromhex is_file isalnum isalpha isascii isdigit islower isspace istitle
-    isupper popitem release replace resolve reverse absolute as_posix casefold endswith fromkeys is_alive
-    issubset readable readline seekable swapcase writable groupdict isdecimal isnumeric maketrans partition
-    readlines translate with_name with_stem capitalize difference expandtabs format_map is_symlink isdisjoint
-    issuperset notify_all rpartition setdefault splitlines startswith writelines isprintable relative_to
-    with_suffix intersection isidentifier removeprefix removesuffix difference_update intersection_update
-    symmetric_difference symmetric_difference_update
+    absolute acquire add append as_posix as_uri capitalize casefold center clear close copy count decode
+    difference difference_update discard encode end endswith exists expandtabs extend find flush format
+    format_map fromhex fromkeys get group groupdict groups hex index insert intersection intersection_update
+    is_alive is_dir is_file is_symlink isalnum isalpha isascii isdecimal isdigit isdisjoint isidentifier
+    islower isnumeric isprintable isspace issubset issuperset istitle isupper items join keys ljust lower
+    lstrip maketrans notify notify_all partition pop popitem read readable readline readlines relative_to
+    release remove removeprefix removesuffix replace resolve reverse rfind rindex rjust rpartition rsplit
+    rstrip seek seekable send setdefault sort span split splitlines start startswith strip swapcase
+    symmetric_difference symmetric_difference_update tell throw title translate union update upper values wait
+    with_name with_stem with_suffix writable write writelines zfill
     """
 )
 
 #: Callables of the interpreter (3.13), without the two catalogs above.
 FUNCTIONS = _names(
     """
-    id abs all any bin chr dir hex len map max min oct ord pow sum zip eval exec exit hash help iter next open
-    quit repr vars aiter anext ascii input print range round slice super divmod filter format locals sorted
-    Warning compile credits delattr getattr globals hasattr license setattr EOFError TabError callable
-    property reversed NameError copyright enumerate breakpoint isinstance issubclass BufferError LookupError
-    SyntaxError SystemError UserWarning classmethod BytesWarning UnicodeError staticmethod FutureWarning
-    ImportWarning SyntaxWarning AssertionError ExceptionGroup ReferenceError RuntimeWarning UnicodeWarning
-    ArithmeticError BlockingIOError BrokenPipeError EncodingWarning FileExistsError ResourceWarning
-    EnvironmentError IndentationError InterruptedError ChildProcessError UnboundLocalError BaseExceptionGroup
-    DeprecationWarning FloatingPointError NotADirectoryError ProcessLookupError StopAsyncIteration
-    UnicodeDecodeError UnicodeEncodeError ModuleNotFoundError ConnectionResetError UnicodeTranslateError
-    ConnectionAbortedError ConnectionRefusedError PythonFinalizationError PendingDeprecationWarning
+    abs aiter all anext any ArithmeticError ascii AssertionError BaseExceptionGroup bin BlockingIOError
+    breakpoint BrokenPipeError BufferError BytesWarning callable ChildProcessError chr classmethod compile
+    ConnectionAbortedError ConnectionRefusedError ConnectionResetError copyright credits delattr
+    DeprecationWarning dir divmod EncodingWarning enumerate EnvironmentError EOFError eval ExceptionGroup exec
+    exit FileExistsError filter FloatingPointError format FutureWarning getattr globals hasattr hash help hex
+    id ImportWarning IndentationError input InterruptedError isinstance issubclass iter len license locals
+    LookupError map max min ModuleNotFoundError NameError next NotADirectoryError oct open ord
+    PendingDeprecationWarning pow print ProcessLookupError property PythonFinalizationError quit range
+    ReferenceError repr ResourceWarning reversed round RuntimeWarning setattr slice sorted staticmethod
+    StopAsyncIteration sum super SyntaxError SyntaxWarning SystemError TabError UnboundLocalError
+    UnicodeDecodeError UnicodeEncodeError UnicodeError UnicodeTranslateError UnicodeWarning UserWarning vars
+    Warning zip
     """
 )
 
 #: Top-level modules of the standard library that count as such.
 LIBRARY_MODULES = _names(
     """
-    io os re abc ast csv ssl sys copy enum http json math time uuid types pickle random shutil socket string
-    typing urllib asyncio decimal hashlib inspect logging pathlib weakref argparse datetime operator platform
-    tempfile textwrap tokenize warnings functools importlib itertools threading traceback contextlib
-    statistics subprocess collections dataclasses importlib_metadata
+    abc argparse ast asyncio collections contextlib copy csv dataclasses datetime decimal enum functools
+    hashlib http importlib importlib_metadata inspect io itertools json logging math operator os pathlib
+    pickle platform random re shutil socket ssl statistics string subprocess sys tempfile textwrap threading
+    time tokenize traceback types typing urllib uuid warnings weakref
     """
 )
 
 #: Words that never become incident keywords.
 NOISE_WORDS = _names(
     """
-    an as at be by do if in is it no of on or so to and any are but can did for had has how its may not the
-    was also been call does file from have into last line more most than that then they this type were what
-    when will with about above could error might their there where which would during object recent should
-    handling nonetype occurred attribute exception traceback
+    about above also an and any are as at attribute be been but by call can could did do does during error
+    exception file for from had handling has have how if in into is it its last line may might more most no
+    nonetype not object occurred of on or recent should so than that the their then there they this to
+    traceback type was were what when where which will with would
     """
 )
 
 #: Words that the text index leaves out.
 STOP_WORDS = _names(
     """
-    a an as at be by do if in is it of on or to up we and for not the
+    a an and as at be by do for if in is it not of on or the to up we
     """
 )

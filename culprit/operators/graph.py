@@ -43,6 +43,13 @@ def short_id(node: Column) -> Column:
     return F.when(tail != "", F.concat(name, F.lit("::"), tail)).otherwise(name)
 
 
+def windows_of(parts: Column, sep: str) -> Column:
+    """Distinct runs of consecutive parts after the first, joined: what can stand between separators."""
+    last = F.size(parts) - 1
+    runs = lambda i: F.transform(F.sequence(i, last), lambda j: F.array_join(F.slice(parts, i + 1, j - i + 1), sep))
+    return F.when(last >= 1, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), last), runs)))).otherwise(F.array().cast("array<string>"))
+
+
 def first_by_id(rows: DataFrame, *order: str, key: str = "id") -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -12,6 +12,8 @@ from culprit.plans import diagnose as D, ingest
 from culprit.plans.starview import AS_OF, Star, duck
 from culprit.streaming import incidents as ST
 
+#: The queries as functions of a star view, which several may share.
+ON_STAR: dict[str, Callable[[Star], DataFrame]] = {}
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -20,6 +22,7 @@ def query(sql: str | None = None, *views: str):
     """Register a function of a :class:`Star` as a query, with its SQL over the named views."""
 
     def add(f: Callable[[Star], DataFrame]):
+        ON_STAR[f.__name__] = f
         _QUERIES[f.__name__] = lambda spark, sf_dir: f(Star(spark, sf_dir))
         if sql is not None:
             head = duck(*views)
@@ -67,11 +70,11 @@ def kg_neighbors(s: Star) -> DataFrame:
 
 @query(
     """select p.src, p.dst, exists (select 1 from edges e where e.source_id = p.src and e.target_id = p.dst) as has_edge
-    from (select c.id as src, p.id as dst from nodes c join nodes p on p.ord = 4000000000 + (c.ord - 1000000) % 50 where c.ord between 1000000 and 1000200) p""",
+    from (select c.id as src, p.id as dst from nodes c join nodes p on p.ord = 4000000001 + c.ord % (select count(*) from part) where c.name like 'Customer#%') p""",
     "nodes", "edges",
 )
 def kg_has_edge(s: Star) -> DataFrame:
-    c = s.nodes.where("ord between 1000000 and 1000200").select(F.col("id").alias("src"), (F.lit(4000000000) + (F.col("ord") - 1000000) % 50).alias("ord"))
+    c = s.nodes.where("name like 'Customer#%'").select(F.col("id").alias("src"), (F.lit(4000000001) + F.col("ord") % s.table("part").count()).alias("ord"))
     return G.has_edge(c.join(s.nodes.select("ord", F.col("id").alias("dst")), "ord").select("src", "dst"), s.edges)
 
 
@@ -276,12 +279,13 @@ def resolve_ranked_name(s: Star) -> DataFrame:
 
 
 @query(
-    """with wanted as (select 'c' || cast(c_custkey as varchar) as name from customer where c_custkey < 300 union all select 'p5::' union all select 'py')
-    select wanted.name, min(id) as resolved from wanted join nodes on id like '%::' || wanted.name or contains(id, '::' || wanted.name || '::') group by wanted.name having count(*) = 1""",
+    """with wanted as (select 'c' || cast(c_custkey as varchar) as name from customer union all select 'p5::' union all select 'py'),
+    parts as (select distinct id, p as name from (select id, string_split(id, '::')[2] as a, string_split(id, '::')[3] as b from nodes) cross join unnest([a, b, a || '::' || b]) u(p))
+    select name, min(id) as resolved from wanted join parts using (name) group by name having count(*) = 1""",
     "nodes",
 )
 def resolve_partial_id(s: Star) -> DataFrame:
-    c = s.table("customer").where("c_custkey < 300").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"))
+    c = s.table("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"))
     names = c.union(s.spark.createDataFrame([("p5::",), ("py",)], "name string"))
     wanted = names.select("name", F.lit("elsewhere.py").alias("file"), F.lit(None).cast("string").alias("preferred"))
     return R.find_nodes(wanted, s.nodes, _symbolic(s)).where("strategy = 4").select("name", "resolved")
@@ -683,9 +687,8 @@ def pages_link_graph(s: Star) -> DataFrame:
     """select conv_id, turn, min(preset_key) as preset_key from conversations join (select unnest(['a', 'b']) as preset_key, unnest(['en', 'que']) as role) p on contains(text, p.role) or contains(p.role, text) group by conv_id, turn"""
 )
 def preset_match(s: Star) -> DataFrame:
-    presets = s.spark.createDataFrame([("a", "en"), ("b", "que")], "preset_key string, preset string")
     traces = s.table("conversations").select(F.struct("conv_id", "turn").alias("trace_id"), F.col("text").alias("trace"))
-    return D.match_preset(traces, presets).select("trace_id.conv_id", "trace_id.turn", "preset_key")
+    return D.match_preset(traces, [("a", "en"), ("b", "que")]).select("trace_id.conv_id", "trace_id.turn", "preset_key")
 
 
 @query("select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
