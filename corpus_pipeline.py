@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from culprit.llm.common import materialize
 from culprit.llm.decontam import decontaminate
+from culprit.llm.nearcopies import near_copies
 from culprit.llm.packing import pack
 from culprit.llm.quality import classify, train
-from culprit.llm.simhash import near_duplicates
 from culprit.llm.suffix import deduplicate
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,8 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near-duplicates the document with the least id; equal rows become one."""
-    groups = near_duplicates(docs, width=3, tau=3, seed=42)
+    """Keep of each group of documents linked by 0.8 or more of five-word shingles the one with the least id; equal rows become one."""
+    groups = near_copies(docs, width=5, least=0.8)
     gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS).distinct()
 
@@ -58,13 +58,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("simhash near-dedup", near_duplicate_groups),
+    ("shingle near-dedup", near_duplicate_groups),
     ("substring dedup", repeated_substrings),
     ("benchmark decontamination", benchmark_leaks),
     ("packing", packing),
 ]
 
-#: SQL can't express the classifier, the fingerprints or the tokens.
+#: SQL can't express the classifier, the groups of near copies or the tokens.
 ORACLE_SQL = None
 
 
