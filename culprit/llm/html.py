@@ -22,11 +22,13 @@ from culprit.llm.common import arrow_map
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+|[^>]*)>"
-    r"|<[!?/][^>]*>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Tags that end at the first ">": for the rest of a page whose quotes leave a tag without an end.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(\S*+)))?+")
 _HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|menu\w*|nav|navbar|navigation|breadcrumbs?|"
     r"footer|header|masthead|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|signup|comments?|disqus|replies|"
@@ -45,7 +47,7 @@ _HEADING = frozenset(("h1", "h2", "h3"))
 
 
 def _hinted(attrs: str) -> bool:
-    return any(_HINT.search(a or b or c) for _, a, b, c in _ATTR.findall(attrs))
+    return any(_HINT.search(a or b or c) for name, a, b, c in _ATTR.findall(attrs) if name.lower() in ("class", "id", "role"))
 
 
 def lines_of(html: str) -> tuple[list[tuple[str, int, str]], bool]:
@@ -70,8 +72,14 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, str]], bool]:
         linked = 0
 
     at, end = 0, len(html)
+    token = _TOKEN
     while at < end:
-        m = _TOKEN.search(html, at)
+        m = token.search(html, at)
+        if m and m.end() == end and html[end - 1] != ">" and not m[0].startswith("<!--"):
+            if token is _TOKEN and ">" in m[0]:
+                token = _PLAIN
+                continue
+            m = None
         stop = m.start() if m else end
         if stop > at and not skip:
             piece = html[at:stop]

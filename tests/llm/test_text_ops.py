@@ -198,3 +198,22 @@ def test_html_rows(spark):
     got = H.extract(pages).collect()
     assert len(got) == 5 and {r.n_chars for r in got if r.page_id in (2, 3)} == {0}
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_html_long_attribute_values():
+    for q in "\"'":
+        value = "<p>not text</p> > " * 500 + ("'" if q == '"' else '"')
+        assert H.main_text(f"<div data-x={q}{value}{q} title=a>{'word ' * 30}</div><p>next</p>") == "word " * 29 + "word\nnext"
+    assert H.main_text("<p title=\"open>one</p><p>two</p>") == "one\ntwo"
+    assert H.main_text("<p>it</p><p don't>two</p><p>isn't</p>") == "it\ntwo\nisn't"
+    assert H.main_text("<article><p>one</p><b class=\"x\">two</b><p title=\"a>three</p><p class=\"").startswith("one\ntwo\nthree")
+    assert H.main_text("<div data-html='<i class=\"ad\">'>kept</div>") == "kept"
+
+
+def test_html_broken_quotes_take_linear_time():
+    import time
+
+    for piece in ("<p a=\"", "<p a='1>1' ", "<p", "<p a=\"b>", "</"):
+        start = time.perf_counter()
+        H.main_text(piece * 40_000)
+        assert time.perf_counter() - start < 5, piece
