@@ -29,12 +29,18 @@ _TOKEN = re.compile(
 #: Tags that end at the first ">": for the rest of a page whose quotes leave a tag without an end.
 _PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(\S*+)))?+")
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|menu\w*|nav|navbar|navigation|breadcrumbs?|"
+_WORD = (
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|menu\w*|nav|navbar|navigation|breadcrumbs?|"
     r"footer|header|masthead|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|signup|comments?|disqus|replies|"
-    r"share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|search|login|alert|complementary|contentinfo)(?=$|[\s_-])",
+    r"share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|search|login|alert|complementary|contentinfo)"
+)
+#: A whole token of a class, id or role: a word, perhaps with a place before it and a kind of box, a place or a number after it.
+_HINT = re.compile(
+    r"(?:^|\s)(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary)[_-])?" + _WORD + r"(?:[_-](?:" + _WORD + r"|"
+    r"bar|box|buttons?|links?|list|items?|slot|unit|wrapper|wrap|container|block|section|area|panel|message|form|icons?|left|right|top|bottom|\d+))*(?=$|\s)",
     re.I,
 )
+_COMMENTS = re.compile(r"comments?|disqus|replies", re.I)
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
@@ -42,18 +48,40 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea iframe svg math object xmp noembed noframes canvas audio video".split())
 _BOILER = frozenset("head nav aside footer form button select menu dialog fieldset title label datalist".split())
-_HINTED = frozenset("div section ul ol p span table td tr li dl figure article header details b i strong em center small".split())
+_HINTED = frozenset("div section ul ol p span table td tr li dl figure article header details center".split())
 _HEADING = frozenset(("h1", "h2", "h3"))
 
 
-def _hinted(attrs: str) -> bool:
-    return any(_HINT.search(a or b or c) for name, a, b, c in _ATTR.findall(attrs) if name.lower() in ("class", "id", "role"))
+def _hinted(attrs: str) -> str:
+    """The first hint of a class, id or role, or the empty string."""
+    found = (_HINT.search(a or b or c) for name, a, b, c in _ATTR.findall(attrs) if name.lower() in ("class", "id", "role"))
+    return next((m[0] for m in found if m), "")
+
+
+def _hinted_lines(lines: list[tuple[str, int, str]], under: list[tuple[int, ...]], hints: list[str]) -> list[bool]:
+    """Whether a line loses its length to a hint: not where the hinted element holds most of the page's paragraph text.
+
+    Reader comments may be longer than the text they are about, so their hint is overruled only where nothing else is left.
+    """
+    count = [n if g == "p" else 0 for _, n, g in lines]
+    if not any(count):
+        count = [n for _, n, _ in lines]
+    held = [0] * len(hints)
+    for n, of in zip(count, under, strict=True):
+        for h in of:
+            held[h] += n
+    total = sum(count)
+    kept = [2 * n > total and (n == total or not _COMMENTS.search(hint)) for n, hint in zip(held, hints, strict=True)]
+    return [not all(kept[h] for h in of) for of in under]
 
 
 def lines_of(html: str) -> tuple[list[tuple[str, int, str]], bool]:
     """Lines as ``(text, length that counts, block tag)``; whether the page marks an article."""
     lines: list[tuple[str, int, str]] = []
     inside: list[bool] = []
+    under: list[tuple[int, ...]] = []
+    hints: list[str] = []
+    open_hints: list[list] = []  # tag, depth, number of the hint
     buffer: list[str] = []
     linked = 0
     anchor = article = 0
@@ -68,6 +96,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, str]], bool]:
             if text:
                 lines.append((text, 0 if linked * 10 >= 8 * len(text) else len(text), tag_now))
                 inside.append(article > 0)
+                under.append(tuple(h[2] for h in open_hints))
             buffer.clear()
         linked = 0
 
@@ -111,6 +140,16 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, str]], bool]:
                 close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
                 at = close.end() if close else (end if name in ("script", "style", "template", "textarea") else at)
             continue
+        if open_hints and (name in ("article", "main") or any(h[0] == name for h in open_hints)):
+            flush()
+            tag_now = "" if name in _BLOCK else tag_now
+            top = max((k for k, h in enumerate(open_hints) if h[0] == name), default=-1)
+            if top >= 0 and not (attrs.endswith("/") and not closing):
+                open_hints[top][1] += -1 if closing else 1
+                if not open_hints[top][1]:
+                    del open_hints[top:]
+            elif top < 0 and (not closing or article):
+                open_hints.clear()
         if name == "a":
             anchor = 0 if closing else 1
             continue
@@ -123,15 +162,27 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, str]], bool]:
             continue
         if name in _VOID:
             continue
-        boiler = name in _BOILER or (name == "header" and not article) or (attrs and name in _HINTED and _hinted(attrs))
-        if boiler and not attrs.endswith("/"):
+        boiler = name in _BOILER or (name == "header" and not article)
+        hint = _hinted(attrs) if attrs and not boiler and name in _HINTED else ""
+        if hint and not attrs.endswith("/"):
+            flush()
+            if open_hints and open_hints[-1][0] == name:
+                open_hints[-1][1] -= 1
+            open_hints.append([name, 1, len(hints)])
+            hints.append(hint)
+            anchor = 0
+        elif boiler and not attrs.endswith("/"):
             flush()
             skip, depth = name, 1
             anchor = 0
-        elif name in ("article", "main"):
+        if name in ("article", "main") and not boiler and not hint:
             article += 1
             marked = True
     flush()
+    if hints:
+        gone = _hinted_lines(lines, under, hints)
+        lines = [(t, 0 if x else n, g) for (t, n, g), x in zip(lines, gone, strict=True)]
+        inside = [i and not x for i, x in zip(inside, gone, strict=True)]
     if marked and any(i and t for (t, _, _), i in zip(lines, inside, strict=True)):
         return [(t, len(t) if i else 0, g) for (t, _, g), i in zip(lines, inside, strict=True)], True
     return lines, False

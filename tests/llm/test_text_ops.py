@@ -217,3 +217,15 @@ def test_html_broken_quotes_take_linear_time():
         start = time.perf_counter()
         H.main_text(piece * 40_000)
         assert time.perf_counter() - start < 5, piece
+
+
+def test_html_hints_are_whole_tokens_and_keep_most_text():
+    body = "".join(f"<p>{prose(30)}</p>" for _ in range(4))
+    plain = H.main_text(f"<div>{body}</div>")
+    assert len(plain.split("\n")) == 4
+    for name in ("page no-sidebar", "layout sidebar-right", "has-header", "content search-results"):
+        assert H.main_text(f'<div class="{name}">{body}<div class="sidebar"><div>{prose(9)}</div></div></div>') == plain, name
+    assert H.main_text(f'<div class="ad"><p>{prose(20)}</p></div><div>{body}</div><div id="page-footer"><p>{prose(20)}</p></div>') == plain
+    assert H.main_text(f'<div class="comments">{body}{body}</div><div>{body}</div>') == plain
+    inner = '<div class="article-header"><h1>Head</h1></div><p>a <b class="alert">bold</b> word</p><div class="cookie-notice"><div>no</div> no</div><p>end</p>'
+    assert H.main_text(f"<article>{inner}</article>") == "Head\na bold word\nend"
