@@ -5,9 +5,12 @@ folded and character references decoded.  Menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments give
 lines of length zero, and so do blocks that are nearly all links.  Text lengths
 are summed over sliding windows of lines; the first window whose sum surges
-above a threshold, and the point where it dives to nothing for good, bound the
-main text, and every line with text between them is kept.  Where the page marks
-its article, lines outside it have length zero too, and any length is a surge.
+above a threshold, and the point where the sums dive below a quarter of what is
+usual since, bound the main text, and every line with text between them is kept.
+A later surge to half of the usual sum takes the dive back.  Short lines right
+after the dive stay where they are paragraphs or blocks of the kind of the text.
+Where the page marks its article, lines outside it have length zero, and all
+lines in it are kept: the marks then stand in for surge and dive.
 """
 
 from __future__ import annotations
@@ -188,23 +191,49 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, str]], bool]:
     return lines, False
 
 
+def dive(size: list[int], tags: list[str], sums: list[int], first: int, width: int, need: int) -> int:
+    """The line where the text that begins at ``first`` ends for good."""
+    surges = sorted(s for s in sums[first:] if s >= need)
+    usual = surges[len(surges) // 2] if surges else need
+    low, again = max(usual // 4, min(need, usual)), max(usual // 2, min(need, usual))
+    end, at, open_ = first + 1, first, True
+    while at < len(size):
+        # one long line fills every window over it: the text ends with the last line that alone keeps the sum up
+        if open_ and sums[at] < low:
+            open_ = False
+        elif not open_ and sums[at] >= again:
+            open_ = True
+        if open_:
+            reach = range(at, min(at + width, len(size)))
+            end = max(end, 1 + max((k for k in reach if size[k] * width >= low), default=at))
+        at += 1
+    kinds = {"p", *(tags[k] for k in range(first, end) if size[k] * width >= low)}
+    for k in range(end, min(end + width - 1, len(size))):
+        if not size[k] or tags[k] not in kinds:
+            break
+        end = k + 1
+    return end
+
+
 def main_text(html: str, *, width: int = 3, surge: int = 80) -> str:
     """The text between surge and dive, one line per block."""
     lines, marked = lines_of(html)
     if not lines:
         return ""
     size = [n for _, n, _ in lines]
+    if marked:
+        return "\n".join(t for t, n, _ in lines if n)
     sums = [sum(size[k : k + width]) for k in range(len(size))]
-    need = 1 if marked else min(surge, max(sums) or 1)
+    need = min(surge, max(sums) or 1)
     first = next((k for k, s in enumerate(sums) if s >= need), None)
     if first is None:
         return ""
     while not size[first]:
         first += 1
-    while not marked and first and lines[first - 1][2] in _HEADING and size[first - 1]:
+    end = dive(size, [g for _, _, g in lines], sums, first, width, need)
+    while first and lines[first - 1][2] in _HEADING and size[first - 1]:
         first -= 1
-    last = max(k for k, n in enumerate(size) if n)  # the sums stay at zero after it
-    return "\n".join(t for t, n, _ in lines[first : last + 1] if n)
+    return "\n".join(t for t, n, _ in lines[first:end] if n)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

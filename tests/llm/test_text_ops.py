@@ -229,3 +229,15 @@ def test_html_hints_are_whole_tokens_and_keep_most_text():
     assert H.main_text(f'<div class="comments">{body}{body}</div><div>{body}</div>') == plain
     inner = '<div class="article-header"><h1>Head</h1></div><p>a <b class="alert">bold</b> word</p><div class="cookie-notice"><div>no</div> no</div><p>end</p>'
     assert H.main_text(f"<article>{inner}</article>") == "Head\na bold word\nend"
+
+
+def test_html_dive_ends_unmarked_text():
+    body = "".join(f"<p>{prose(40)}</p>" for _ in range(5))
+    want = H.main_text(f"<div>{body}</div>").split("\n")
+    assert len(want) == 5
+    tail = "<div>Copyright 2024 Some Site</div><div>All rights reserved</div>" + "".join(f"<div class=x>Item {k}</div>" for k in range(8))
+    assert H.main_text(f"<div>{body}</div>{tail}").split("\n") == want
+    assert H.main_text(f"<div>{body}<p>end</p></div>{tail}").split("\n") == [*want, "end"]
+    gap = "".join(f"<p>Short {k}</p>" for k in range(8))  # the text goes on after short lines
+    again = H.main_text(f"<div>{body}{gap}{body}</div>{tail}").split("\n")
+    assert again == [*want, *(f"Short {k}" for k in range(8)), *want]
