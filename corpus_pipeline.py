@@ -33,10 +33,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of documents linked by 0.8 or more of five-word shingles the one with the least id; equal rows become one."""
-    groups = near_copies(docs, width=5, least=0.8)
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS).distinct()
+    """Keep of each group of documents linked by 0.8 or more of five-word shingles one row, of the least id."""
+    groups = near_copies(docs, width=5, least=0.8, keep=_REST)
+    rows = groups.where("code = component_code and doc_id <=> component_id")
+    one = rows.groupBy("code").agg(F.min(F.struct(COLUMNS)).alias("row"))
+    return one.select("row.*").select(COLUMNS)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

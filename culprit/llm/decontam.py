@@ -79,7 +79,7 @@ def searchers(patterns: list[bytes]) -> list[WuManber]:
     return [WuManber(ps, 10 if k >= 6 else 4) for k, ps in sorted(classes.items())]
 
 
-def window_groups(items: Iterable[tuple[str, str]], width: int, limit: int) -> Iterator[dict[bytes, set[str]]]:
+def window_groups(items: Iterable[tuple[str | None, str]], width: int, limit: int) -> Iterator[dict[bytes, set[str]]]:
     """Windows with their items, in groups of about ``limit`` bytes of windows; a long item may be in several groups."""
     found: dict[bytes, set[str]] = defaultdict(set)
     size = 0
@@ -87,7 +87,7 @@ def window_groups(items: Iterable[tuple[str, str]], width: int, limit: int) -> I
         w = words_of(text)
         for k in range(max(1, len(w) - width + 1)) if w else ():
             pattern = b" " + b" ".join(w[k : k + width]) + b" "
-            found[pattern].add(item)
+            found[pattern].update(() if item is None else (item,))
             size += len(pattern)
             if size >= limit:
                 yield dict(found)
@@ -140,12 +140,13 @@ def decontaminate(
     searched in one pass over the documents a group, whose finds are written
     between the passes, so what is broadcast has that bound whatever the
     benchmark.  Documents are never shuffled.  Null texts have no words; empty
-    benchmark items have no window; repeated items and rows are handled like
+    benchmark items have no window; windows of items with a null id count as hits,
+    but not in ``n_items`` and ``items_sha256``; repeated items and rows are handled like
     others; an empty benchmark leaves every document clean.  ``keep`` names
     columns to carry along.  Returns ``doc_id, n_words, n_hit, n_items,
     items_sha256, contaminated`` and ``keep``.
     """
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull())
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
     groups = window_groups(((r[0], r[1]) for r in rows.toLocalIterator()), width, pattern_bytes)
     carried = [T.StructField(f"keep_{i}", docs.schema[k].dataType) for i, k in enumerate(keep)]
     found = docs.select(

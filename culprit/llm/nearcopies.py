@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from culprit.llm.common import materialize
+from culprit.llm.common import discard, materialize
 from culprit.llm.components import connected_components
 
 #: Documents, about, of the sample that tells common shingles, and how many of those are shipped.
@@ -99,7 +99,9 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, share: Fraction, name
     one = texts.join(codes, "code", "left_semi").groupBy("code").agg(F.min("text").alias("text"))
     found = materialize(one.mapInArrow(sets, "code long, h array<long>"), f"{name}-sets")
     both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(verify, "a long, b long"), f"{name}-links")
+    links = materialize(both.mapInArrow(verify, "a long, b long"), f"{name}-links")
+    discard(pairs, found)
+    return links
 
 
 def near_copies(
@@ -124,6 +126,7 @@ def near_copies(
             names = ["doc_id", "text", "code", "size", "first", *(f"keep_{i}" for i in range(len(keep)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *b.columns[2:]], names=names)
 
+    wanted, keep = keep, tuple(k for k in keep if k != text_col)
     carried = [T.StructField(f"keep_{i}", docs.schema[k].dataType) for i, k in enumerate(keep)]
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *(docs[k].alias(f.name) for k, f in zip(keep, carried, strict=True)))
     kinds = [("doc_id", T.LongType()), ("text", T.StringType()), ("code", T.LongType()), ("size", T.LongType()), ("first", T.ArrayType(T.LongType()))]
@@ -155,4 +158,6 @@ def near_copies(
     rooted = classes.join(groups, classes.code == groups.node, "left").select("code", "least", F.coalesce("component", "code").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "code")).alias("best"))
     found = rooted.join(best, "root").select("code", F.col("best.least").alias("component_id"), F.col("best.code").alias("component_code"))
-    return rows.join(found, "code").select("doc_id", "code", "component_id", "component_code", *(F.col(f.name).alias(k) for k, f in zip(keep, carried, strict=True)))
+    discard(posted, mixed)
+    source = {text_col: "text", **{k: f.name for k, f in zip(keep, carried, strict=True)}}
+    return rows.join(found, "code").select("doc_id", "code", "component_id", "component_code", *(F.col(source[k]).alias(k) for k in wanted))

@@ -80,3 +80,12 @@ def test_stage_removes_copies_of_similarity_08(spark, sf):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in P.near_duplicate_groups(spark, docs, sf).select("doc_id").collect()}
     assert kept == set(brute_force(texts))
+
+
+def test_stage_tells_rows_of_one_id_apart(spark, sf):
+    base, other, third = (" ".join(words(60)) for _ in range(3))
+    rows = [(1, base), (2, base + " tail"), (2, other), (None, third), (None, third + " tail"), (None, base + " end"), (5, base.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in P.near_duplicate_groups(spark, docs, sf).collect()]
+    assert len(kept) == 3 and {(1, base), (2, other)} < set(kept)
+    assert [t for i, t in kept if i is None][0] in (third, third + " tail")

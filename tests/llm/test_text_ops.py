@@ -241,3 +241,12 @@ def test_html_dive_ends_unmarked_text():
     gap = "".join(f"<p>Short {k}</p>" for k in range(8))  # the text goes on after short lines
     again = H.main_text(f"<div>{body}{gap}{body}</div>{tail}").split("\n")
     assert again == [*want, *(f"Short {k}" for k in range(8)), *want]
+
+
+def test_decontamination_of_items_without_id(spark, docs):
+    bench = spark.createDataFrame([(None, PASSAGE), (7, LINE)], "item_id long, text string")
+    named = spark.createDataFrame([(1, PASSAGE), (7, LINE)], "item_id long, text string")
+    for size in (1 << 20, 50):
+        got, want = ({r.doc_id: r for r in decontaminate(docs, b, pattern_bytes=size).collect()} for b in (bench, named))
+        assert all((got[k].n_hit, got[k].contaminated) == (w.n_hit, w.contaminated) for k, w in want.items())
+        assert sum(r.contaminated and not r.n_items for r in got.values()) > 2 and max(r.n_items for r in got.values()) == 1
