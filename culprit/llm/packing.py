@@ -12,7 +12,6 @@ same documents to the same sequences again.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,20 +20,49 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from culprit.llm.tokens import ChunkTable
+from culprit.llm.tokens import ChunkTable, slices
 
 
 class ChunkIds(ChunkTable):
     """Little-endian uint32 ids."""
 
     def encoded(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        out = []
+        for ids, at in self.merged(chunks):
+            raw, at = ids.tobytes(), (4 * at).tolist()
+            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+
+    def encoded_first(self, heads: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(heads, add_special_tokens=False)] if heads else []
+
+    def joined(self, parts: list[bytes]) -> bytes:
+        return b"".join(parts)
+
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of whole texts as the library gives them."""
-        for first, values in self.look_up(texts):
-            head = np.array(self.tok.encode(first, add_special_tokens=False).ids, "<u4").tobytes() if first else b""
-            yield head + b"".join(values) if values else head
+        if not self.plain:
+            yield from (np.frombuffer(self.whole(t), "<u4") for t in texts.to_pylist())
+            return
+        starts, which, values, odd = self.split(texts)
+        if not len(starts):
+            return
+        values = [v or b"" for v in values]
+        size = np.array(list(map(len, values)), np.int64) // 4
+        flat, first = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size) - size
+        length = size[which]
+        ends = np.cumsum(length)
+        total = int(ends[-1])
+        at = np.repeat(first[which] - (ends - length), length)
+        at += np.arange(total)
+        ids = flat[at]
+        cuts = np.append((ends - length)[starts], total).tolist()
+        alone = set(odd.tolist())
+        for k in range(len(starts)):
+            yield np.frombuffer(self.alone(texts[k].as_py()), "<u4") if k in alone else ids[cuts[k] : cuts[k + 1]]
 
 
 @lru_cache(maxsize=2)
@@ -170,10 +198,9 @@ def pack(
     def emit(cols: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=out)
 
-    def encoded(table: ChunkIds, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            yield from zip(part.column(0).to_pylist(), table.ids([t or "" for t in part.column(1).to_pylist()]), strict=True)
+    def encoded(table: ChunkIds, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for at, texts in slices(batch.column(1)):
+            yield from zip(batch.column(0).slice(at, len(texts)).to_pylist(), table.ids(texts), strict=True)
 
     def run(batches):
         table, base = encoder(tokenizer_path), TaskContext.get().partitionId() << 32
@@ -181,7 +208,7 @@ def pack(
         for batch in batches:
             full: list[tuple] = []
             for doc, ids in encoded(table, batch):
-                ids += tail
+                ids = ids.tobytes() + tail
                 n = len(ids) // 4
                 for start in range(0, n - window + 1, window):
                     full.append((doc, start, window, zlib.crc32(ids[4 * start : 4 * (start + window)]), n, base + free, 0))

@@ -9,10 +9,11 @@ only the rest are merged.
 Pre-tokens are found per *chunk*.  The last white-space character of a run,
 before a character that is none, always begins a pre-token of the byte-level
 pattern: a space leads the next pre-token, any other stands alone.  So a text is
-cut at such spaces and line feeds with ``str.split`` and the sum over its chunks
-is exact.  Chunks repeat, and their results are remembered in a bounded table.
-Texts with special strings, or tokenizers of another kind, go through the
-library as they are.
+cut at such spaces and line feeds and the sum over its chunks is exact.  Arrow
+cuts some megabytes of texts at once and numbers their distinct chunks, so
+Python looks at each distinct chunk only, and results of short ones are
+remembered in a bounded table.  Texts with special strings, or tokenizers of
+another kind, go through the library as they are.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from culprit.llm.common import arrow_map, texts
+from culprit.llm.common import arrow_map
 
-#: Entries of a worker's chunk table; beyond it, chunks are encoded each time.
-CHUNK_TABLE = 800_000
+#: Entries of a worker's chunk table and characters of a key; beyond them, chunks are encoded each time.
+CHUNK_TABLE, KEY_CHARS = 800_000, 32
+#: Bytes of text that are split at once, about.
+SLICE_BYTES = 16 << 20
 
 _CUT = re.compile(r" (?=\S)")
 _BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,12 +65,6 @@ def is_plain_byte_level(path: str) -> bool:
     )
 
 
-def special_pattern(tok) -> re.Pattern | None:
-    """Strings that the library turns into added tokens wherever they occur."""
-    found = [re.escape(t.content) for t in tok.get_added_tokens_decoder().values()]
-    return re.compile("|".join(found)) if found else None
-
-
 def whole_tokens(tok) -> dict[str, int]:
     """Vocabulary strings that encode alone as one token, with their ids.
 
@@ -104,85 +103,174 @@ def chunks_of(text: str) -> tuple[str, list[str]]:
 
 
 class ChunkTable(dict):
-    """What :meth:`encoded` makes of chunks, by key and filled as texts need it."""
+    """What :meth:`encoded` makes of chunks, by key and filled as texts need it.
+
+    Both the number of keys and their lengths are bounded, so the table is
+    bounded in bytes; what isn't remembered is encoded again.
+    """
 
     def __init__(self, path: str, cap: int = CHUNK_TABLE):
         super().__init__()
         self.tok, self.cap = load_tokenizer(path), cap
-        self.plain, self.special = is_plain_byte_level(path), special_pattern(self.tok)
+        self.plain = is_plain_byte_level(path)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        names = self.tok.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(names.values()) + 1, bool)  # ids that begin with a space or a line feed
+        self.leads[[i for s, i in names.items() if s[:1] in "ĠĊ"]] = True
+
+    def merged(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of a thousand chunks each, and where each chunk's ids begin and the last one's end.
+
+        A space or line feed stands at the start of a chunk and nowhere else, so
+        the ids of a joined text tell its chunks apart.
+        """
+        for k in range(0, len(chunks), 1000):
+            part = chunks[k : k + 1000]
+            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.append(np.flatnonzero(self.leads[ids]), len(ids))
+            if len(at) != len(part) + 1:  # chunks with white space at their ends
+                each = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+                ids, at = np.array([i for x in each for i in x], "<u4"), np.cumsum([0, *map(len, each)])
+            yield ids, at
 
     def encoded(self, chunks: list[str]) -> list:
         raise NotImplementedError
 
-    def look_up(self, texts: list[str]) -> Iterator[tuple[str, list | None]]:
-        """Each text's first chunk and the values of its others; the text and None where the chunk rule doesn't hold.
+    def values_of(self, keys: list[str]) -> list:
+        """Values of some keys, None of those that aren't cut off at a boundary; one call encodes all that the table lacks.
 
-        Only keys that the table lacks are looked at one by one, and all that
-        some texts lack are encoded in one call.  A key that isn't cut off at a
-        boundary never enters the table, so it is always seen here.
+        Keys of the latter kind never enter the table, so only what it lacks is looked at.
         """
-        get, found, new = self.get, [], set()
-        for t in texts:
-            if not self.plain or (self.special is not None and self.special.search(t)):
-                found.append((t, None, None))
-                continue
-            first, *keys = at_spaces(t)
-            values = list(map(get, keys))
-            if None in values:
-                lacking = [k for k, v in zip(keys, values, strict=True) if v is None]
-                if not all(map(is_cut, lacking)):
-                    first, *keys = _CUT.split(t)
-                    values = list(map(get, keys))
-                    lacking = [k for k, v in zip(keys, values, strict=True) if v is None]
-                new.update(lacking)
-                found.append((first, values, keys))
-            else:
-                found.append((first, values, None))
-        fresh = {}
-        if new:
-            keys = list(new)
-            fresh = dict(zip(keys, self.encoded([k if k[:1] == "\n" else " " + k for k in keys]), strict=True))
-            if (room := self.cap - len(self)) > 0:
-                self.update(fresh if len(fresh) <= room else list(fresh.items())[:room])
-        for first, values, keys in found:
-            yield first, [fresh[k] if v is None else v for k, v in zip(keys, values, strict=True)] if keys is not None else values
+        found = list(map(self.get, keys))
+        if None in found:
+            lacking = [k for k, v in zip(keys, found, strict=True) if v is None and is_cut(k)]
+            fresh = dict(zip(lacking, self.encoded([k if k[:1] == "\n" else " " + k for k in lacking]), strict=True))
+            found = [fresh.get(k) if v is None else v for k, v in zip(keys, found, strict=True)]
+            room = self.cap - len(self)
+            if room > 0:
+                self.update([(k, v) for k, v in fresh.items() if len(k) <= KEY_CHARS][:room])
+        return found
+
+    def whole(self, text: str):
+        """The value of a text that the chunk rule doesn't cover."""
+        raise NotImplementedError
+
+    def joined(self, parts: list):
+        """The value of a text from those of its chunks."""
+        raise NotImplementedError
+
+    def alone(self, text: str):
+        """The value of one text, chunk by chunk where the rule holds."""
+        if not self.plain or any(s in text for s in self.special):
+            return self.whole(text)
+        first, keys = chunks_of(text)
+        return self.joined([self.whole(first), *self.values_of(keys)])
+
+    def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+        """Texts as rows of chunks: ``(starts, which, values, odd)``.
+
+        Chunks of text ``k`` begin at ``starts[k]``; ``which`` is the place of a
+        chunk's value in ``values``, which has first chunks at the end.  ``odd``
+        are the texts whose values must come from :meth:`alone`.
+        """
+        if pc.sum(pc.binary_length(texts)).as_py() > 1 << 29:  # room for what the line feeds add
+            texts = texts.cast(pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        starts = np.asarray(lists.offsets)[:-1].astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        codes, n = np.asarray(coded.indices), len(coded.dictionary)
+        later = np.ones(len(codes), bool)
+        later[starts] = False
+        place = np.zeros(n, np.int64)
+        place[codes[later]] = 1
+        used = np.flatnonzero(place)
+        place[used] = np.arange(len(used))
+        which = place[codes]
+        which[starts] = len(used) + np.arange(len(starts))
+        values = self.values_of(coded.dictionary.take(pa.array(used)).to_pylist())
+        odd = np.zeros(len(starts), bool)
+        if None in values:
+            bad = np.zeros(len(used) + len(starts), bool)
+            bad[: len(used)] = [v is None for v in values]
+            odd |= np.logical_or.reduceat(bad[which], starts)
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        heads = coded.dictionary.take(pa.array(codes[starts])).to_pylist()
+        return starts, which, values + self.encoded_first(heads), np.flatnonzero(odd)
+
+    def encoded_first(self, heads: list[str]) -> list:
+        return list(map(self.whole, heads))
 
 
 class ChunkCounter(ChunkTable):
-    """Numbers of tokens: whole tokens count one, all other pre-tokens are merged."""
+    """Numbers of tokens: whole tokens count one each, chunks with any other pre-token are merged."""
 
     def __init__(self, path: str, cap: int = CHUNK_TABLE):
         import regex
 
         super().__init__(path, cap)
-        self.whole = frozenset(whole_tokens(self.tok))
-        self.split = regex.compile(_BYTE_LEVEL_SPLIT).findall
+        self.proven = frozenset(whole_tokens(self.tok))
+        self.pretokens = regex.compile(_BYTE_LEVEL_SPLIT).findall
 
     def encoded(self, chunks: list[str]) -> list[int]:
-        whole, parts = self.whole, [[c] if c in self.whole else self.split(c) for c in chunks]
-        rest = list({p for ps in parts for p in ps if p not in whole})
-        merged = dict(zip(rest, map(len, self.tok.encode_batch_fast(rest, add_special_tokens=False)), strict=True)) if rest else {}
-        return [sum([merged.get(p, 1) for p in ps]) for ps in parts]
+        whole, out, rest = self.proven, [0] * len(chunks), []
+        for k, c in enumerate(chunks):
+            if c in whole:
+                out[k] = 1
+            elif c[1:].isalpha() or not whole.issuperset(parts := self.pretokens(c)):
+                rest.append(k)
+            else:
+                out[k] = len(parts)
+        counts = (n for _, at in self.merged([chunks[k] for k in rest]) for n in np.diff(at).tolist())
+        for k, n in zip(rest, counts, strict=True):
+            out[k] = n
+        return out
+
+    def whole(self, text: str) -> int:
+        return len(self.tok.encode(text, add_special_tokens=False)) if text else 0
+
+    def encoded_first(self, heads: list[str]) -> list[int]:
+        return list(map(len, self.tok.encode_batch_fast(heads, add_special_tokens=False))) if heads else []
+
+    def joined(self, parts: list[int]) -> int:
+        return sum(parts)
 
-    def count_all(self, texts: list[str]) -> list[int]:
+    def count_all(self, texts: pa.Array) -> np.ndarray:
         """Counts of some texts."""
-        alone = lambda t: len(self.tok.encode(t, add_special_tokens=False)) if t else 0
-        return [alone(first) + sum(values or ()) for first, values in self.look_up(texts)]
+        if not self.plain:
+            return np.array(list(map(self.alone, texts.to_pylist())), np.int64)
+        starts, which, values, odd = self.split(texts)
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        n = np.add.reduceat(np.array([v or 0 for v in values], np.int64)[which], starts)
+        for k in odd.tolist():
+            n[k] = self.alone(texts[k].as_py())
+        return n
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES):
+    """Slices of about ``most`` bytes, of one text at least; nulls become empty."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, texts.slice(at, stop - at)
+        at = stop
 
 
 @lru_cache(maxsize=2)
 def text_counter(path: str):
-    """A function from texts to token counts for a ``.json`` or ``.model`` file; a worker keeps it for its next tasks."""
+    """A function from an array of texts to token counts for a ``.json`` or ``.model`` file; a worker keeps it for its next tasks."""
     if path.endswith(".model"):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda ts: [len(x) for x in sp.encode(list(ts), num_threads=1)]
+        return lambda ts: [len(x) for x in sp.encode(ts.to_pylist(), num_threads=1)]
     if not is_plain_byte_level(path):
         tok = load_tokenizer(path)
-        return lambda ts: [len(tok.encode(t, add_special_tokens=False)) for t in ts]
-    counter = ChunkCounter(path)
-    return lambda ts: [n for k in range(0, len(ts), 500) for n in counter.count_all(ts[k : k + 500])]
+        return lambda ts: [len(tok.encode(t, add_special_tokens=False)) for t in ts.to_pylist()]
+    return ChunkCounter(path).count_all
 
 
 def count_tokens(
@@ -191,8 +279,9 @@ def count_tokens(
     """Exact token counts of every whole text, in one pass without a shuffle.
 
     Null and empty texts count 0 bytes and 0 tokens; rows with a null or a
-    repeated id each give a row; other columns are ignored; an empty table
-    gives an empty result.  Returns ``doc_id, n_bytes, n_tokens, over_limit``.
+    repeated id each give a row; other columns, whatever their names, are
+    ignored; an empty table gives an empty result.  A text is never split
+    between tasks: one of any length takes memory in proportion to it.  Returns ``doc_id, n_bytes, n_tokens, over_limit``.
     """
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
@@ -200,9 +289,9 @@ def count_tokens(
         count = text_counter(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> Iterable[dict]:
-            ts = texts(batch.column(1))
-            n = count(ts)
-            yield {"doc_id": batch.column(0), "n_bytes": [len(t.encode()) for t in ts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+            for at, ts in slices(batch.column(1)):
+                n = np.asarray(count(ts), np.int64)
+                yield {"doc_id": batch.column(0).slice(at, len(ts)), "n_bytes": pc.binary_length(ts).cast(pa.int64()), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)}
 
         return step
 
