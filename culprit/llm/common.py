@@ -14,14 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it.  Only where that is unset (tests on one
-    machine) a temporary folder is made and installed as checkpoint folder.
+    ``spark.checkpoint.dir`` names it.  Only where that is unset and Spark runs
+    in one process (tests) a temporary folder is made and installed as
+    checkpoint folder; a cluster without a shared folder is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_to.isDefined():
             return set_to.get()
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="culprit-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -51,10 +54,14 @@ def release(spark: SparkSession) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` that nothing reads any more."""
     for t in tables:
-        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            remove(t.sparkSession, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

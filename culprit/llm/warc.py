@@ -1,12 +1,14 @@
 """WARC archives with revisit resolution.
 
-``write_archive`` writes one record per row as gzipped WARC/1.1 files through
-Spark's own writer, so any file system that Spark knows will do.  ``read_headers`` and
-``read_records`` stream records back from those files by their content length.
-``resolve`` shuffles headers only: they are grouped by payload digest and
-length, the record with the largest page id of each group is the response, and
-the others revisit it.  ``deduplicate`` rewrites the archive with fresh headers,
-where revisit records have no payload.
+``write_archive`` writes one record per row as WARC/1.1, a gzip member a record,
+through Spark's own writer, so any file system that Spark knows will do.
+``read_headers`` and ``read_records`` stream records back from those files by
+their content length.  ``resolve`` shuffles headers only: they are grouped by
+payload digest and length, the record with the largest page id of each group is
+the response, and the others revisit it.  ``deduplicate`` gives every file of an
+archive the list of its own revisits and rewrites it with fresh headers, where
+revisit records have no payload; payloads are read and written by the same task
+and are never shuffled while the lists of all files are small enough to ship.
 """
 
 from __future__ import annotations
@@ -15,62 +17,88 @@ import base64
 import gzip
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from culprit.llm.common import shared_dir
+from culprit.llm.common import discard, materialize, remove, shared_dir
 
-#: Records in a file at most; one task reads a file, and its compressed bytes are in memory whole.
-FILE_RECORDS = 2_000
+#: Compressed bytes of a chunk of records, or one record, and chunks in a file: a task holds a file's compressed bytes.
+CHUNK_BYTES, FILE_CHUNKS = 4 << 20, 8
+#: Bytes of revisit lists that are shipped to all executors; beyond them, files are joined with their lists.
+SHIPPED_BYTES = 32 << 20
+#: Compression level of members: the fastest.
+LEVEL = 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes from which a member's stored length ends with a byte that isn't zero.
+_LONG = 1 << 24
 
+_CONTROL = {k: " " for k in (*range(32), 127)}
 
-def _clean(c: Column) -> Column:
-    """A header value: no control characters, which would end the header."""
-    return F.regexp_replace(c, r"[\x00-\x1F\x7F]", " ")
 
+def base32_sha1(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
-def base32_sha1(c: Column) -> Column:
-    """Upper-case base32 SHA-1 of a string's UTF-8 bytes, in built-in functions."""
-    # 10 hexadecimal digits are 40 bits are 8 digits to the base 32, which conv writes as 0-9A-V
-    digits = F.concat(*(F.lpad(F.conv(F.substring(F.sha1(c), 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)))
-    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
+def record_of(headers: dict[str, object], block: bytes) -> bytes:
+    """A record; headers without a value are left out, control characters in values become spaces."""
+    lines = "".join(f"{k}: {str(v).translate(_CONTROL)}\r\n" for k, v in headers.items() if v is not None)
+    return b"".join((b"WARC/1.1\r\n", lines.encode(), b"Content-Length: %d\r\n\r\n" % len(block), block, b"\r\n\r\n"))
 
-def write_archive(records: DataFrame, path: str) -> None:
-    """Write ``page_id, url, html, digest, kind, refers_to, payload_bytes`` rows as records.
 
-    A revisit record (``kind`` = revisit) has an empty block.  Each line that the
-    text writer ends with a line feed is a whole record but for its last byte.
-    """
-    block = F.when(F.col("kind") == "revisit", F.lit("")).otherwise(F.coalesce(F.col("html"), F.lit("")))
-    eol = "\r\n"
-    head = F.concat(
-        F.lit(f"WARC/1.1{eol}WARC-Type: "),
-        F.col("kind"),
-        F.lit(f"{eol}WARC-Record-ID: <urn:uuid:"),
-        F.regexp_replace(F.md5(F.concat_ws("|", F.lit("record"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("digest"))), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
-        F.lit(f">{eol}WARC-Date: {DATE}{eol}"),
-        F.coalesce(F.concat(F.lit("WARC-Target-URI: "), _clean(F.col("url")), F.lit(eol)), F.lit("")),
-        F.coalesce(F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string"), F.lit(eol)), F.lit("")),
-        F.lit("WARC-Payload-Digest: sha1:"),
-        F.col("digest"),
-        F.lit(f"{eol}X-Payload-Length: "),
-        F.col("payload_bytes").cast("string"),
-        F.when(
-            F.col("kind") == "revisit", F.concat(F.lit(f"{eol}WARC-Profile: {PROFILE}{eol}X-Refers-To-Page-Id: "), F.col("refers_to").cast("string"))
-        ).otherwise(F.lit("")),
-        F.lit(f"{eol}Content-Type: text/html; charset=utf-8{eol}Content-Length: "),
-        F.octet_length(block).cast("string"),
-        F.lit(eol + eol),
-        block,
-        F.lit("\r\n\r"),
-    )
-    records.select(head.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def compressed(record: bytes) -> bytes:
+    """A record as one gzip member, or several if it is so long that its length would not end with a zero byte."""
+    if len(record) < _LONG:
+        return gzip.compress(record, LEVEL, mtime=0)
+    step = _LONG // 2
+    return b"".join(gzip.compress(record[k : k + step], LEVEL, mtime=0) for k in range(0, len(record), step))
+
+
+def chunked(records: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+    """Compressed records in chunks, each without its last byte, which is zero and comes from the writer."""
+    found, size = [], 0
+    for r in records:
+        found.append(compressed(r))
+        size += len(found[-1])
+        if size >= CHUNK_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(found)[:-1]], pa.binary())], names=["value"])
+            found, size = [], 0
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(found)[:-1]], pa.binary())], names=["value"])
+
+
+def _write(chunks: DataFrame, path: str) -> None:
+    """The text writer puts out the bytes of its strings as they are, and the zero byte that ends a member after each."""
+    chunks.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_CHUNKS).text(path)
+
+
+def write_archive(pages: DataFrame, path: str) -> None:
+    """Write ``page_id, url, html`` rows as response records; null html is an empty payload."""
+    archive = uuid.uuid4().hex
+
+    def records(batches):
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for page, url, html in zip(*(b.column(k) for k in range(3)), strict=True):
+                block = (html.as_py() or "").encode()
+                n += 1
+                yield record_of(
+                    {
+                        "WARC-Type": "response", "WARC-Record-ID": _urn(f"{archive}/{task}/{n}"), "WARC-Date": DATE, "WARC-Target-URI": url.as_py(), "X-Page-Id": page.as_py(),
+                        "WARC-Payload-Digest": "sha1:" + base32_sha1(block), "X-Payload-Length": len(block), "Content-Type": "text/html; charset=utf-8",
+                    },
+                    block,
+                )
+
+    _write(pages.select("page_id", "url", "html").mapInArrow(lambda batches: chunked(records(batches)), "value binary"), path)
+
+
+def _urn(name: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(name.encode()).hexdigest())}>"
 
 
 def records_in(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -89,50 +117,63 @@ def records_in(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def _digest(block: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(block).digest()).decode()
+def _opened(content: pa.Scalar) -> BinaryIO:
+    return gzip.open(pa.BufferReader(content.as_buffer()))
 
 
-_OUT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("file"), "content")
 
 
-def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of an archive folder; ``html`` is added if ``payload`` is asked for.
+def _number(x: str | None) -> int | None:
+    return None if x is None else int(x)
 
-    Digest and length of a record with payload are computed from its bytes and
-    must agree with its header; a revisit record brings those of its original.
-    """
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Headers of an archive folder: ``file, ordinal`` in the file, ``record_id``, ``page_id, url, payload_bytes,
+    payload_digest, record_type, refers_to``."""
+    kinds = {"file": pa.string(), "ordinal": pa.int64(), "record_id": pa.string(), "page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+    names = {pa.string(): "string", pa.int64(): "long"}
 
     def run(batches):
-        for batch in batches:
-            for content in batch.column(0):
-                rows, size = [], 0
-                for h, block in records_in(gzip.open(pa.BufferReader(content.as_buffer()))):
-                    revisit = h["warc-type"] == "revisit"
-                    digest, n = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"])
-                    if not revisit and (digest, n) != (_digest(block), len(block)):
-                        raise ValueError(f"payload of record {h['warc-record-id']} does not have its digest")
-                    page, to = h.get("x-page-id"), h.get("x-refers-to-page-id")
-                    rows.append((None if page is None else int(page), h.get("warc-target-uri"), n, digest, h["warc-type"], None if to is None else int(to), *((block.decode(),) if payload else ())))
-                    size += len(block)
-                    if size > 8 << 20 and payload:
-                        yield made(rows)
-                        rows, size = [], 0
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = [
+                    (
+                        file, k, h["warc-record-id"], _number(h.get("x-page-id")), h.get("warc-target-uri"), int(h["x-payload-length"]),
+                        h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], _number(h.get("x-refers-to-page-id")),
+                    )
+                    for k, (h, _) in enumerate(records_in(_opened(content)))
+                ]
                 if rows:
-                    yield made(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    return _files(spark, path).mapInArrow(run, ", ".join(f"{k} {names[t]}" for k, t in kinds.items()))
+
 
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
-    fields += [("html", pa.string())] if payload else []
+def verified(headers: dict[str, str], block: bytes) -> bytes:
+    """The block, if it is what the headers say."""
+    if headers["warc-type"] != "revisit" and (headers["warc-payload-digest"], headers["x-payload-length"]) != ("sha1:" + base32_sha1(block), str(len(block))):
+        raise ValueError(f"payload of record {headers['warc-record-id']} does not have its digest")
+    return block
 
-    def made(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, _OUT + (", html string" if payload else ""))
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """``page_id, url, record_type, html`` of an archive folder; digests of payloads are verified."""
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(1):
+                for h, block in records_in(_opened(content)):
+                    row = (_number(h.get("x-page-id")), h.get("warc-target-uri"), h["warc-type"], verified(h, block).decode())
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["page_id", "url", "record_type", "html"])
+
+    return _files(spark, path).mapInArrow(run, "page_id long, url string, record_type string, html string")
 
 
 def resolve(headers: DataFrame, *, least_bytes: int = 0) -> DataFrame:
-    """Decide which records are responses: ``headers`` with new type and reference.
+    """Decide which records are responses: ``headers`` with new type and reference, and record id and address of the original.
 
     Of the records with equal digest and length, those with the largest page id
     are responses and the rest revisit it; records under ``least_bytes`` and
@@ -140,38 +181,66 @@ def resolve(headers: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     id comes from a partial aggregate, and the join back may be split by Spark,
     so a group of any size needs no task of its own.
     """
-    largest = headers.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("__to"))
+    largest = headers.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id", "url")).alias("__to"))
     both = headers.drop("record_type", "refers_to").join(largest, ["payload_digest", "payload_bytes"])
-    again = (F.col("payload_bytes") >= least_bytes) & F.col("__to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__to"))
-    return both.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("__to"))).drop("__to")
+    again = (F.col("payload_bytes") >= least_bytes) & F.col("__to.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__to.page_id"))
+    both = both.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("__to", F.when(again, F.col("__to")))
+    found = {"refers_to": "page_id", "refers_record": "record_id", "refers_url": "url"}
+    return both.select("*", *(F.col(f"__to.{v}").alias(k) for k, v in found.items())).drop("__to")
 
 
-def archive_and_deduplicate(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
+def deduplicate(spark: SparkSession, path: str, fresh: str, *, least_bytes: int = 0, shipped_bytes: int = SHIPPED_BYTES) -> None:
+    """Rewrite the archive in ``path`` to ``fresh``: repeated payloads become revisit records.
+
+    The lists of revisits by file are shipped whole while they have at most
+    ``shipped_bytes``; larger ones meet their files' compressed bytes in a join.
+    """
+    decided = resolve(read_headers(spark, path), least_bytes=least_bytes).where("record_type = 'revisit'")
+    lists = decided.groupBy("file").agg(F.collect_list(F.struct("ordinal", "refers_to", "refers_record", "refers_url")).alias("revisits"))
+    lists = materialize(lists, "warc-revisits")
+    size = lists.agg(F.sum(F.aggregate("revisits", F.lit(0).cast("long"), lambda n, r: n + 80 + F.coalesce(F.octet_length(r["refers_url"]), F.lit(0))))).first()[0] or 0
+    hinted = F.broadcast(lists) if size <= shipped_bytes else lists.hint("merge")
+
+    def records(batches):
+        for b in batches:
+            for content, revisits in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                again = {r["ordinal"]: r for r in revisits or ()}
+                for k, (h, block) in enumerate(records_in(_opened(content))):
+                    verified(h, block)
+                    made = {
+                        "WARC-Type": "response", "WARC-Record-ID": h["warc-record-id"], "WARC-Date": DATE, "WARC-Target-URI": h.get("warc-target-uri"), "X-Page-Id": h.get("x-page-id"),
+                        "WARC-Payload-Digest": h["warc-payload-digest"], "X-Payload-Length": h["x-payload-length"], "Content-Type": "text/html; charset=utf-8",
+                    }
+                    if r := again.get(k):
+                        made |= {
+                            "WARC-Type": "revisit", "WARC-Record-ID": _urn("revisit" + h["warc-record-id"]), "WARC-Profile": PROFILE, "WARC-Refers-To": r["refers_record"],
+                            "WARC-Refers-To-Target-URI": r["refers_url"], "WARC-Refers-To-Date": DATE, "X-Refers-To-Page-Id": r["refers_to"],
+                        }
+                        block = b""
+                    yield record_of(made, block)
+
+    joined = _files(spark, path).join(hinted, "file", "left").select("content", "revisits")
+    _write(joined.mapInArrow(lambda batches: chunked(records(batches)), "value binary"), fresh)
+    discard(lists)
+
+
+def archive_and_deduplicate(
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, shipped_bytes: int = SHIPPED_BYTES
+) -> DataFrame:
     """Write an archive of ``pages``, resolve revisits, write the deduplicated one, read that back.
 
-    Null html is an empty payload, null urls and ids give no such header.  Rows
-    that repeat with the same id and payload are responses alike.  An empty
-    table gives an empty result.  Returns ``page_id, url, payload_bytes,
-    payload_digest, record_type, refers_to``.
+    Null html is an empty payload, null urls and ids give no such header; a
+    control character in a url becomes a space.  Rows that repeat with the same
+    id and payload are responses alike, each with a record id of its own.  An
+    empty table gives an empty result.  A page of any length is one record; its
+    task holds it whole.  Other columns, whatever their names, are ignored.
+    Returns ``page_id, url, payload_bytes, payload_digest, record_type,
+    refers_to``.
     """
     spark = pages.sparkSession
-    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), base32_sha1(html).alias("digest"),
-        F.octet_length(html).cast("long").alias("payload_bytes"), F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to"),
-    )
+    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     folder = f"{shared_dir(spark)}/culprit/warc-{uuid.uuid4().hex}"
     write_archive(rows, f"{folder}/all")
-    decided = resolve(read_records(spark, f"{folder}/all", payload=False), least_bytes=least_bytes)
-    again = decided.where("record_type = 'revisit'").select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), F.col("refers_to").alias("__to")).distinct()
-    full = read_records(spark, f"{folder}/all", payload=True)
-    # a page of the same id with another payload stays what it is: the digest is part of the key
-    joined = full.join(again, full.page_id.eqNullSafe(again["__id"]) & (full.payload_digest == again["__digest"]), "left")
-    fresh = joined.select(
-        "page_id", "url", "html", F.col("payload_digest").alias("digest"), "payload_bytes",
-        F.when(F.col("__to").isNotNull(), "revisit").otherwise("response").alias("kind"), F.col("__to").alias("refers_to"),
-    )
-    write_archive(fresh, f"{folder}/deduplicated")
-    full_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/all")
-    full_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(full_path, True)
-    return read_records(spark, f"{folder}/deduplicated", payload=False)
+    deduplicate(spark, f"{folder}/all", f"{folder}/deduplicated", least_bytes=least_bytes, shipped_bytes=shipped_bytes)
+    remove(spark, f"{folder}/all")
+    return read_headers(spark, f"{folder}/deduplicated").drop("file", "ordinal", "record_id")

@@ -1,12 +1,16 @@
 """WARC round trip and embedding links against brute force."""
 
 import base64
+import gzip
 import hashlib
 import io
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from culprit.llm import warc as W
 from culprit.llm.embed import near_duplicates
 from culprit.llm.hnsw import Hnsw
 from culprit.llm.warc import archive_and_deduplicate, records_in
@@ -29,10 +33,44 @@ def test_warc_round_trip(spark):
         want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", top if again else None))
     assert got == sorted(want, key=str)
     assert archive_and_deduplicate(pages.limit(0)).count() == 0
+    joined = archive_and_deduplicate(pages.withColumn("file", F.lit(1)).withColumn("digest", F.lit(2)), shipped_bytes=0)  # lists that are too large to ship
+    assert sorted(map(tuple, joined.drop("url").collect()), key=str) == got
     few = archive_and_deduplicate(pages, least_bytes=4).where("payload_bytes < 4 and record_type = 'revisit'")
     assert few.count() == 0
 
 
+def test_archives_hold_valid_records(spark, tmp_path):
+    html = ["same", "same", "", None, "é" * 50, "x" * 50]
+    pages = spark.createDataFrame([(k, f"http://h/{k}", h) for k, h in enumerate(html)] + [(0, "http://h/0", "same")], "page_id long, url string, html string").repartition(2)
+    W.write_archive(pages, f"{tmp_path}/all")
+    heads = W.read_headers(spark, f"{tmp_path}/all").collect()
+    assert len({h.record_id for h in heads}) == len(heads) == 7 and all(h.record_type == "response" for h in heads)
+    assert sorted(r.html for r in W.read_records(spark, f"{tmp_path}/all").collect()) == sorted([h or "" for h in html] + ["same"])
+    W.deduplicate(spark, f"{tmp_path}/all", f"{tmp_path}/fresh")
+    fresh = {h.page_id: h for h in W.read_headers(spark, f"{tmp_path}/fresh").collect()}
+    assert fresh[0].refers_to == 1 and fresh[2].refers_to == 3 and fresh[4].refers_to is None
+    found = {}
+    for f in tmp_path.glob("fresh/part-*"):
+        raw, at = f.read_bytes(), 0
+        while at < len(raw):  # a gzip member a record
+            d = zlib.decompressobj(31)
+            (h, block), = records_in(io.BytesIO(d.decompress(raw[at:])))
+            at = len(raw) - len(d.unused_data)
+            found[h["warc-record-id"]] = h, block
+    assert len(found) == 7
+    for h, block in found.values():
+        if h["warc-type"] == "revisit":
+            to, _ = found[h["warc-refers-to"]]
+            assert not block and to["warc-type"] == "response" and to["warc-target-uri"] == h["warc-refers-to-target-uri"] and to["x-page-id"] == h["x-refers-to-page-id"]
+
+
+def test_long_records_end_with_a_zero_byte():
+    for n in (0, 10, (1 << 24) - 1, 1 << 24, (1 << 25) + 5):
+        raw = bytes(n)
+        made = W.compressed(raw)
+        assert made[-1] == 0 and gzip.decompress(made) == raw
+
+
 def test_records_need_a_version_line():
     with pytest.raises(ValueError):
         list(records_in(io.BytesIO(b"HTTP/1.1 200\r\n\r\n")))
