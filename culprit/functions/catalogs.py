@@ -45,20 +45,73 @@ DECORATORS = _names(
     """
 )
 
-#: Method names that belong to built-in types.
-METHODS = _names(
-    """
-    absolute acquire add append as_posix as_uri capitalize casefold center clear close copy count decode
-    difference difference_update discard encode end endswith exists expandtabs extend find flush format
-    format_map fromhex fromkeys get group groupdict groups hex index insert intersection intersection_update
-    is_alive is_dir is_file is_symlink isalnum isalpha isascii isdecimal isdigit isdisjoint isidentifier
-    islower isnumeric isprintable isspace issubset issuperset istitle isupper items join keys ljust lower
-    lstrip maketrans notify notify_all partition pop popitem read readable readline readlines relative_to
-    release remove removeprefix removesuffix replace resolve reverse rfind rindex rjust rpartition rsplit
-    rstrip seek seekable send setdefault sort span split splitlines start startswith strip swapcase
-    symmetric_difference symmetric_difference_update tell throw title translate union update upper values wait
-    with_name with_stem with_suffix writable write writelines zfill
-    """
+#: Method names that belong to built-in types, by the type that has them first.
+METHODS = frozenset().union(
+    # str
+    _names(
+        """
+        capitalize casefold center count encode endswith expandtabs find format format_map index isalnum isalpha
+        isascii isdecimal isdigit isidentifier islower isnumeric isprintable isspace istitle isupper join ljust
+        lower lstrip maketrans partition removeprefix removesuffix replace rfind rindex rjust rpartition rsplit
+        rstrip split splitlines startswith strip swapcase title translate upper zfill
+        """
+    ),
+    # bytes
+    _names(
+        """
+        decode fromhex hex
+        """
+    ),
+    # list and deque
+    _names(
+        """
+        append clear copy extend insert pop remove reverse sort
+        """
+    ),
+    # dict
+    _names(
+        """
+        fromkeys get items keys popitem setdefault update values
+        """
+    ),
+    # set
+    _names(
+        """
+        add difference difference_update discard intersection intersection_update isdisjoint issubset issuperset
+        symmetric_difference symmetric_difference_update union
+        """
+    ),
+    # file
+    _names(
+        """
+        close flush read readable readline readlines seek seekable tell writable write writelines
+        """
+    ),
+    # generator
+    _names(
+        """
+        send throw
+        """
+    ),
+    # re.Match
+    _names(
+        """
+        end group groupdict groups span start
+        """
+    ),
+    # pathlib.Path
+    _names(
+        """
+        absolute as_posix as_uri exists is_dir is_file is_symlink relative_to resolve with_name with_stem
+        with_suffix
+        """
+    ),
+    # threading
+    _names(
+        """
+        acquire is_alive notify notify_all release wait
+        """
+    ),
 )
 
 #: Callables of the interpreter (3.13), without the two catalogs above.
