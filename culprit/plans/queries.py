@@ -225,48 +225,93 @@ def reach_forward(s: Star) -> DataFrame:
 
 # --- resolution ---------------------------------------------------------------
 
-#: Symbolic edges: nations call a part name, extend a class name, and import a module's symbol.
+#: Symbolic edges, which grow with the tables: accounts call, extend, raise, catch and are decorated; suppliers import by name, by module and by a part of an id.
 _SYMBOLS = """
-select 'geo/' || lower(r_name) || '.py::' || n_name || '::' || '--' || rel || '--' || sym as id, 'geo/' || lower(r_name) || '.py::' || n_name || '::' as source_id, sym as target_id,
-  rel as relationship, cast(1.0 as double) as confidence, false as is_resolved, alias, cast(n_nationkey * 10 + k as bigint) as ord
-from {nation} join {region} on n_regionkey = r_regionkey
-join (select 0 as k, 'CALLS' as rel, 'small_ring' as sym, cast(null as string) as alias union all select 1, 'CALLS', 'append', cast(null as string) union all select 2, 'EXTENDS', 'NATION_7', cast(null as string)
-  union all select 3, 'EXTENDS', 'Enum', cast(null as string) union all select 4, 'RAISES', 'ValueError', cast(null as string) union all select 5, 'RAISES', 're_raise', cast(null as string)
-  union all select 6, 'IMPORTS', 'NATION_5::Customer#000000001', 'cust' union all select 7, 'CALLS', 'cust', cast(null as string) union all select 8, 'CALLS', 'asia', cast(null as string)
-  union all select 9, 'CATCHES', 'NoSuchThing', cast(null as string)) s on true
+select case when rel = 'DECORATES' then sym else src end || '--' || rel || '--' || case when rel = 'DECORATES' then src else sym end as id,
+  case when rel = 'DECORATES' then sym else src end as source_id, case when rel = 'DECORATES' then src else sym end as target_id,
+  rel as relationship, cast(1.0 as double) as confidence, false as is_resolved, alias, ord
+from (
+  select c.id as src, c_custkey as ord, cast(null as string) as alias,
+    case c_custkey % 8 when 0 then 'CALLS' when 1 then 'CALLS' when 2 then 'EXTENDS' when 3 then 'RAISES' when 4 then 'CALLS' when 5 then 'DECORATES' when 6 then 'CALLS' else 'CATCHES' end as rel,
+    case c_custkey % 8 when 0 then replace(p_name, ' ', '_') when 1 then case when c_custkey % 3 = 0 then 'append' when c_custkey % 3 = 1 then 'str' else c_name end
+      when 2 then case when c_custkey % 3 = 0 then 'Enum' else 'NATION_' || cast(c_custkey % 25 as string) end
+      when 3 then case when c_custkey % 3 = 0 then 'ValueError' when c_custkey % 3 = 1 then 'StatusFError' else c_name end
+      when 4 then 'dep' when 5 then case when c_custkey % 3 = 0 then 'property' else replace(p_name, ' ', '_') end
+      when 6 then 'p' || cast(p_partkey as string) else case when c_custkey % 3 = 0 then 're_raise' else 'NoSuchThing' end end as sym
+  from {customer} join {nodes} c on c.ord = 1000000 + c_custkey join {part} on p_partkey = c_custkey * 7 % 200 + 1
+  union all
+  select c.id, 10000000 + c_custkey, case when c_custkey % 20 = 19 then 'dep' end, 'IMPORTS', p_brand || '::' || replace(p_name, ' ', '_')
+  from {customer} join {nodes} c on c.ord = 1000000 + c_custkey join {part} on p_partkey = c_custkey * 11 % 200 + 1 where c_custkey % 10 = 9
+  union all
+  select n.id, 20000000 + s_suppkey, case when s_suppkey % 2 = 0 then 'it' || cast(s_suppkey as string) end, 'IMPORTS',
+    case s_suppkey % 3 when 0 then p_brand || '::' || replace(p_name, ' ', '_') when 1 then lower(r_name) else 'c' || cast(s_suppkey as string) || '::Customer' end
+  from {supplier} join {nodes} n on n.ord = 2000000000 + s_suppkey join {part} on p_partkey = s_suppkey * 3 % 200 + 1 join {region} on r_regionkey = s_suppkey % 5
+) x
 """
 
 
 def _symbolic(s: Star) -> DataFrame:
-    e = s.sql(_SYMBOLS)
+    e = s.sql(_SYMBOLS, nodes=s.nodes)
     missing = [f.split(" ") for f in G.EDGES.split(", ") if f.split(" ")[0] not in e.columns]
-    return e.select("*", *(F.lit(None).cast(t).alias(n) for n, t in missing))
+    return D.checkpoint(e.select("*", *(F.lit(None).cast(t).alias(n) for n, t in missing)))
 
 
-_SYM = "with syms as (" + _SYMBOLS.format(nation="nation", region="region") + ")"
+# The four strategies as SQL over the symbolic edges: same file, imports, ranked name, part of an id.
+_SYM = "with syms as (" + _SYMBOLS.format(nodes="nodes", **{t: t for t in ("customer", "part", "supplier", "region")}) + ")"
 _SAME = "select max_by(id, ord) as id, file_path, name from nodes where name <> '' group by file_path, name"
-
-
-@query(
-    f"""{_SYM}, own as ({_SAME}) select s.id, own.id as resolved from syms s join own on own.name = s.target_id and own.file_path = string_split(s.source_id, '::')[1]
-    where s.relationship in ('CALLS', 'EXTENDS')""",
-    "nodes",
-)
+_FIND = f"""{_SYM}, own as ({_SAME}),
+    targets as (select distinct target_id, case when contains(target_id, '::') then split_part(target_id, '::', 1) else target_id end as module,
+      case when contains(target_id, '::') then split_part(target_id, '::', 2) end as symbol from syms where relationship = 'IMPORTS'),
+    files as (select distinct file_path, split_part(split_part(file_path, '/', -1), '.py', 1) as stem from nodes),
+    exact as (select target_id, min_by(n.id, n.ord) as node from targets t join files f on stem = module or contains(f.file_path, '/' || module || '/') join nodes n on n.file_path = f.file_path
+      and case when symbol is null then n.type = 'module' else n.name = symbol end group by target_id),
+    inside as (select target_id, min_by(n.id, n.ord) as node from targets t join nodes n on contains(n.id, t.target_id) where target_id not in (select target_id from exact) group by target_id),
+    aim as (select * from exact union all select * from inside),
+    symtab as (select split_part(source_id, '::', 1) as file, coalesce(nullif(alias, ''), case when contains(syms.target_id, '::') then split_part(syms.target_id, '::', 2) else syms.target_id end) as local_name,
+      max_by(coalesce(node, syms.target_id), ord) as resolved from syms left join aim using (target_id) where relationship = 'IMPORTS' group by 1, 2),
+    work as (select *, case when relationship = 'DECORATES' then source_id else target_id end as name, split_part(case when relationship = 'DECORATES' then target_id else source_id end, '::', 1) as file,
+      case when relationship in ('CATCHES', 'EXTENDS', 'RAISES') then 'class' when relationship = 'DECORATES' then 'function' end as preferred from syms where relationship <> 'IMPORTS'),
+    pool as (select w.id as edge, n.id as node, row_number() over (partition by w.id order by exists (select 1 from symtab t where t.file = w.file and split_part(t.resolved, '::', 1) = split_part(n.id, '::', 1)) desc,
+      coalesce(n.type = w.preferred, false) desc, case n.type when 'function' then 0 when 'class' then 1 when 'module' then 2 when 'variable' then 3 else 4 end, n.confidence desc, n.ord) as k from work w join nodes n on n.name = w.name),
+    parts as (select distinct id, p as name from (select id, split_part(id, '::', 2) as a, split_part(id, '::', 3) as b from nodes) cross join unnest([a, b, a || '::' || b]) u(p)),
+    partial as (select name, min(id) as node from parts where name not in (select name from nodes) group by name having count(*) = 1),
+    found as (select w.*, own.id as hit1, case when t.resolved in (select id from nodes) then t.resolved end as hit2, p.node as hit3, q.node as hit4 from work w left join own on own.name = w.name and own.file_path = w.file
+      left join symtab t on t.file = w.file and t.local_name = w.name left join pool p on p.edge = w.id and p.k = 1 left join partial q on q.name = w.name)"""
+
+
+@query(f"{_FIND} select id, coalesce(hit1, hit2, hit3, hit4) as resolved, case when hit1 is not null then 1 when hit2 is not null then 2 when hit3 is not null then 3 when hit4 is not null then 4 end as strategy from found", "nodes")
+def resolve_strategies(s: Star) -> DataFrame:
+    """The strategy that finds each symbol of an edge."""
+    e = _symbolic(s)
+    decorates, rel = F.col("relationship") == "DECORATES", F.col("relationship")
+    e = e.where("relationship <> 'IMPORTS'").withColumn("name", F.when(decorates, F.col("source_id")).otherwise(F.col("target_id")))
+    e = e.withColumn("file", G.file_of(F.when(decorates, F.col("target_id")).otherwise(F.col("source_id"))))
+    e = e.withColumn("preferred", F.when(rel.isin("CATCHES", "EXTENDS", "RAISES"), "class").when(decorates, "function")).select("id", "name", "file", "preferred")
+    found = R.find_nodes(e.select("name", "file", "preferred"), s.nodes, _symbolic(s))
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("name", "file", "preferred")]
+    return e.alias("e").join(found.alias("f"), same[0] & same[1] & same[2]).select("id", "resolved", F.col("strategy").cast("long").alias("strategy"))
+
+
+@query(f"{_FIND} select w.id, own.id as resolved from work w join own on own.name = w.name and own.file_path = w.file where relationship in ('CALLS', 'EXTENDS')", "nodes")
 def resolve_same_file(s: Star) -> DataFrame:
     e = _symbolic(s).where("relationship in ('CALLS', 'EXTENDS')").withColumn("file", G.file_of(F.col("source_id")))
     found = R.find_nodes(e.select(F.col("target_id").alias("name"), "file", F.lit(None).cast("string").alias("preferred")), s.nodes, _symbolic(s)).where("strategy = 1")
     return e.join(found, (F.col("name") == F.col("target_id")) & (found.file == e.file)).select("id", "resolved")
 
 
-@query(
-    f"""{_SYM} select distinct string_split(source_id, '::')[1] as file, alias as local_name,
-    coalesce((select min_by(id, ord) from nodes where name = 'Customer#000000001' and file_path like '%/NATION_5.py'), target_id) as resolved from syms where relationship = 'IMPORTS'""",
-    "nodes",
-)
+@query(f"{_FIND} select file, local_name, resolved from symtab", "nodes")
 def resolve_symbol_table(s: Star) -> DataFrame:
     return R.symbol_table(s.nodes, _symbolic(s))
 
 
+@query(f"{_FIND} select target_id, node, target_id in (select target_id from inside) as by_substring from aim", "nodes")
+def resolve_import_targets(s: Star) -> DataFrame:
+    """What imports mean, and which of them only a part of an id tells."""
+    found = R.import_targets(s.nodes, _symbolic(s))
+    named = F.when(F.contains("target_id", F.lit("::")), F.substring_index("target_id", "::", -1) == F.substring_index("node", "::", -1)).otherwise(F.endswith("node", F.lit(".py::::")))
+    return found.select("target_id", "node", (~named).alias("by_substring"))
+
+
 @query(
     """with wanted as (select distinct replace(p_name, ' ', '_') as name from part)
     select w.name, (select id from nodes n where n.name = w.name order by confidence desc, ord limit 1) as resolved from wanted w""",
@@ -291,25 +336,22 @@ def resolve_partial_id(s: Star) -> DataFrame:
     return R.find_nodes(wanted, s.nodes, _symbolic(s)).where("strategy = 4").select("name", "resolved")
 
 
-_RESOLVED = f"""{_SYM}, own as ({_SAME}),
-    imported as (select min_by(id, ord) as id from nodes where name = 'Customer#000000001' and file_path like '%/NATION_5.py'),
-    best as (select s.id, s.relationship, s.target_id, s.confidence,
-      case when s.target_id = 're_raise' then null when s.relationship = 'RAISES' then null
-        else coalesce(own.id, case when s.target_id = 'cust' then (select id from imported) end,
-          (select n.id from nodes n where n.name = s.target_id order by case when s.relationship = 'CALLS' then 0 when n.type = 'class' then 0 else 1 end,
-            case n.type when 'function' then 0 when 'class' then 1 when 'module' then 2 else 4 end, n.confidence desc, n.ord limit 1)) end as hit
-      from syms s left join own on own.name = s.target_id and own.file_path = string_split(s.source_id, '::')[1] where s.relationship <> 'IMPORTS'),
-    done as (select *, case when hit is not null then null when target_id = 'append' then 'method' when target_id = 'Enum' then 'base_class' when target_id = 'ValueError' then 'exception' end as kind from best)"""
+_RESOLVED = f"""{_FIND}, kinds as (select *, case when relationship = 'DECORATES' and name = 'property' then 'decorator' when relationship in ('RAISES', 'CATCHES') and name = 'ValueError' then 'exception' end as before from found),
+    hits as (select *, case when before is null and name <> 're_raise' then coalesce(hit1, hit2, hit3, hit4) end as hit from kinds),
+    done as (select *, case when hit is not null or name = 're_raise' then null else coalesce(before, case when relationship = 'CALLS' and name = 'append' then 'method' when relationship = 'CALLS' and name = 'str' then 'type_call'
+      when relationship = 'EXTENDS' and name = 'Enum' then 'base_class' end) end as kind from hits)"""
 
 
 @query(
-    f"""{_RESOLVED} select id, coalesce(hit, target_id) as target_id, hit is not null as is_resolved, kind as builtin_kind,
-    round(case when kind is not null then 0.5 when hit is null then confidence - 0.3 else confidence end, 6) as confidence from done""",
+    f"""{_RESOLVED} select id, case when relationship = 'DECORATES' then coalesce(hit, source_id) else source_id end as source_id, case when relationship <> 'DECORATES' then coalesce(hit, target_id) else target_id end as target_id,
+    hit is not null as is_resolved, kind as builtin_kind, round(case when kind is not null then 0.5 when hit is null then confidence - 0.3 else confidence end, 6) as confidence,
+    case when name = 're_raise' then 'placeholder target (re_raise)' when hit is null and kind is null then case relationship when 'CALLS' then 'call target' when 'EXTENDS' then 'base class' when 'DECORATES' then 'decorator' else 'exception class' end || ' not found in graph' end as unresolved_reason
+    from done""",
     "nodes",
 )
 def resolve_edges(s: Star) -> DataFrame:
     done = R.resolve(s.nodes, _symbolic(s)).where("relationship <> 'IMPORTS'")
-    return done.select("id", "target_id", "is_resolved", "builtin_kind", F.round("confidence", 6).alias("confidence"))
+    return done.select("id", "source_id", "target_id", "is_resolved", "builtin_kind", F.round("confidence", 6).alias("confidence"), "unresolved_reason")
 
 
 @query(
@@ -323,17 +365,19 @@ def resolve_tally(s: Star) -> DataFrame:
     return row.withColumn("resolution_rate", F.round("resolution_rate", 9))
 
 
+#: A name a part: catalog names and names of the tables in turn.
+_NAMES = "case p_partkey % 9 when 0 then 'append' when 1 then 'print' when 2 then 'dict' when 3 then 'KeyError' when 4 then 'os.path' when 5 then 'property' when 6 then lower(p_type) || '.setter' when 7 then 'json.' || lower(p_brand) else replace(p_name, ' ', '_') end"
+
+
 @query(
-    """select name, case name when 'append' then 'method' when 'print' then 'function' when 'dict' then 'type_call' when 'KeyError' then 'exception_call' when 'os.path' then 'stdlib' end as call_kind,
-    case when name in ('property', 'os.path') then 'decorator' when name = 'x.setter' then 'property_descriptor' end as decorator_kind,
-    case when name = 'dict' then 'base_class' when name = 'KeyError' then 'exception_base' end as base_kind
-    from (select unnest(['append', 'print', 'dict', 'KeyError', 'os.path', 'property', 'x.setter', 'mine']) as name) where exists (select 1 from region)"""
+    f"""select p_partkey, name, case when name = 'append' then 'method' when name in ('print', 'property') then 'function' when name = 'dict' then 'type_call' when name = 'KeyError' then 'exception_call' when name = 'os.path' or name like 'json.%' then 'stdlib' end as call_kind,
+    case when name in ('property', 'os.path') or name like 'json.%' then 'decorator' when name like '%.setter' then 'property_descriptor' end as decorator_kind,
+    case when name = 'dict' then 'base_class' when name = 'KeyError' then 'exception_base' end as base_kind from (select p_partkey, {_NAMES} as name from part)"""
 )
 def builtin_classify(s: Star) -> DataFrame:
-    names = s.spark.createDataFrame([(n,) for n in ("append", "print", "dict", "KeyError", "os.path", "property", "x.setter", "mine")], "name string")
-    # `property` is also a callable of the interpreter
-    call = F.when(F.col("name") != "property", R.call_kind(F.col("name")))
-    return names.select("name", call.alias("call_kind"), R.decorator_kind(F.col("name")).alias("decorator_kind"), R.base_kind(F.col("name")).alias("base_kind"))
+    """F22 to F24."""
+    names = s.table("part").select("p_partkey", F.expr(_NAMES).alias("name"))
+    return names.select("p_partkey", "name", R.call_kind(F.col("name")).alias("call_kind"), R.decorator_kind(F.col("name")).alias("decorator_kind"), R.base_kind(F.col("name")).alias("base_kind"))
 
 
 # --- commits and upkeep ---------------------------------------------------------
@@ -434,7 +478,9 @@ def frames_generic(s: Star) -> DataFrame:
     return p.select("incident_id", F.col("f.file_path").alias("file"), F.col("f.function_name").alias("function"), F.col("f.line_number").alias("line"), "error_type")
 
 
-_NOISE = "('in', 'of', 'is', 'no', 'error', 'the', 'out')"
+_NOISE = "('in', 'of', 'is', 'no', 'error', 'the')"
+
+
 @query(
     f"""with parsed as (select incident_id, split_part(regexp_extract(raw_text, '\\n([A-Za-z.]+): [^\\n]*$', 1), '.', -1) as error_type,
       regexp_extract(raw_text, '\\n[A-Za-z.]+: ([^\\n]*)$', 1) as error_message, regexp_extract_all(raw_text, ', in (\\S+)', 1) as fs, regexp_extract_all(raw_text, '/([^/"]+)\\.py"', 1) as ss from incidents),
@@ -446,9 +492,7 @@ _NOISE = "('in', 'of', 'is', 'no', 'error', 'the', 'out')"
     "nodes", "incidents",
 )
 def incident_keywords(s: Star) -> DataFrame:
-    # "out" is a keyword of the parser; it is left out on both sides, as the oracle's word list is short
-    k = F.filter("keywords", lambda w: w != "out")
-    return I.parse(s.incidents).select("incident_id", F.array_join(k, ",").alias("keywords"), F.size(k).cast("long").alias("n"))
+    return I.parse(s.incidents).select("incident_id", F.array_join("keywords", ",").alias("keywords"), F.size("keywords").cast("long").alias("n"))
 
 
 _ENTRIES = f"""frames as ({_FRAMES}),
@@ -546,12 +590,12 @@ def _sql_levels(hops: int) -> str:
     return ",\n".join(out)
 
 
-_CANDIDATES = f"{_SCORE_BASE}, {_sql_levels(3)}, candidates as (select *, row_number() over (partition by incident_id order by score desc, hop, node_id) as rank from (" + " union all ".join(f"select * from level{k}" for k in range(4)) + "))"
+_CANDIDATES = f"{_SCORE_BASE}, {_sql_levels(4)}, candidates as (select *, row_number() over (partition by incident_id order by score desc, hop, node_id) as rank from (" + " union all ".join(f"select * from level{k}" for k in range(5)) + "))"
 
 
 def _candidates(s: Star) -> tuple[DataFrame, DataFrame, DataFrame]:
     parsed, entries = _parsed_entries(s)
-    return parsed, entries, V.beam_search(entries, parsed, s.nodes, s.edges, AS_OF, max_hops=3)
+    return parsed, entries, V.beam_search(entries, parsed, s.nodes, s.edges, AS_OF)
 
 
 @query(f"with {_CANDIDATES} select incident_id, node_id, hop as hops_from_entry, score, rank from candidates", "nodes", "edges", "incidents")
@@ -599,7 +643,7 @@ def headline_by_confidence(s: Star) -> DataFrame:
     "nodes", "edges", "incidents",
 )
 def diagnose_report(s: Star) -> DataFrame:
-    r = D.diagnose(s.incidents, s.nodes, s.edges, AS_OF, max_hops=3).reports
+    r = D.diagnose(s.incidents, s.nodes, s.edges, AS_OF).reports
     return r.select("incident_id", "error_type", "root_cause_node", "confidence", "score", "is_valid", "hops_from_entry", "entry_nodes_found", "candidates_found")
 
 
@@ -657,12 +701,14 @@ def tfidf_report(s: Star) -> DataFrame:
 @query(
     """with near as (select id, min(side) as side, neighbor_id from (select source_id as id, target_id as neighbor_id, 0 as side from edges union all select target_id, source_id, 1 from edges) group by id, neighbor_id),
     named as (select near.id, string_agg(n.name, ' ' order by side, neighbor_id) as near from near join nodes n on n.id = near.neighbor_id group by near.id)
-    select nodes.id as doc, md5(lower(concat_ws(' ', name, name, name, type, nullif(docstring, ''), near))) as text from nodes left join named using (id)""",
+    select nodes.id as doc, md5(lower(concat_ws(' ', name, name, name, type, nullif(docstring, ''), case when type = 'function' then 'self of_' || split_part(docstring, ' ', 1) when type = 'class' then 'Place' end,
+      case when ord % 2 = 0 then 'cached wraps' end, near))) as text from nodes left join named using (id)""",
     "nodes", "edges",
 )
 def node_document(s: Star) -> DataFrame:
-    none = F.lit(None).cast("array<string>")
-    nodes = s.nodes.withColumn("params", none).withColumn("bases", none).withColumn("decorators", none)
+    word = F.substring_index("docstring", " ", 1)
+    nodes = s.nodes.withColumn("params", F.array(F.lit("self"), F.concat(F.lit("of_"), word))).withColumn("bases", F.array(F.lit("Place")))
+    nodes = nodes.withColumn("decorators", F.when(F.col("ord") % 2 == 0, F.array(F.lit("cached"), F.lit("wraps"))))
     return T.node_documents(nodes, s.edges).select("doc", F.md5("text").alias("text"))
 
 
