@@ -3,7 +3,8 @@
 Markup is stripped to *lines*: one per block of the page, with white space
 folded and character references decoded.  Menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments give
-lines of length zero, and so do blocks that are nearly all links.  Text lengths
+lines of length zero (unless such an element holds most of the page's text, as a
+form around a whole page does), and so do blocks that are nearly all links.  Text lengths
 are summed over sliding windows of lines; the first window whose sum surges
 above a threshold, and the point where the sums dive below a quarter of what is
 usual since, bound the main text, and every line with text between them is kept.
@@ -50,9 +51,11 @@ _BLOCK = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea iframe svg math object xmp noembed noframes canvas audio video".split())
-_BOILER = frozenset("head nav aside footer form button select menu dialog fieldset title label datalist".split())
+_BOILER = frozenset("head nav aside footer button select menu dialog fieldset title label datalist".split())
 _HINTED = frozenset("div section ul ol p span table td tr li dl figure article header details center".split())
 _HEADING = frozenset(("h1", "h2", "h3"))
+#: Blocks that are text even if they are one link.
+_PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
 
 def _hinted(attrs: str) -> str:
@@ -66,9 +69,9 @@ def _hinted_lines(lines: list[tuple[str, int, str]], under: list[tuple[int, ...]
 
     Reader comments may be longer than the text they are about, so their hint is overruled only where nothing else is left.
     """
-    count = [n if g == "p" else 0 for _, n, g in lines]
+    count = [abs(n) if g == "p" else 0 for _, n, g in lines]
     if not any(count):
-        count = [n for _, n, _ in lines]
+        count = [abs(n) for _, n, _ in lines]
     held = [0] * len(hints)
     for n, of in zip(count, under, strict=True):
         for h in of:
@@ -79,7 +82,11 @@ def _hinted_lines(lines: list[tuple[str, int, str]], under: list[tuple[int, ...]
 
 
 def lines_of(html: str) -> tuple[list[tuple[str, int, str]], bool]:
-    """Lines as ``(text, length that counts, block tag)``; whether the page marks an article."""
+    """Lines as ``(text, length that counts, block tag)``; whether the page marks an article.
+
+    The length is negative for a paragraph that is one link: it counts for no
+    window, but stays where it stands between others of the text.
+    """
     lines: list[tuple[str, int, str]] = []
     inside: list[bool] = []
     under: list[tuple[int, ...]] = []
@@ -97,7 +104,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, str]], bool]:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             if text:
-                lines.append((text, 0 if linked * 10 >= 8 * len(text) else len(text), tag_now))
+                link = linked * 10 >= 8 * len(text)
+                lines.append((text, (-len(text) if tag_now in _PARAGRAPH else 0) if link else len(text), tag_now))
                 inside.append(article > 0)
                 under.append(tuple(h[2] for h in open_hints))
             buffer.clear()
@@ -154,19 +162,21 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, str]], bool]:
             elif top < 0 and (not closing or article):
                 open_hints.clear()
         if name == "a":
-            anchor = 0 if closing else 1
+            anchor = 0 if closing else int("href" in attrs.lower())
             continue
         if name in _BLOCK:
             flush()
             tag_now = "" if closing else name
+            if closing or name in _PARAGRAPH:  # a link that nothing closes ends with its block
+                anchor = 0
         if closing:
             if name in ("article", "main") and article:
                 article -= 1
             continue
         if name in _VOID:
             continue
-        boiler = name in _BOILER or (name == "header" and not article)
-        hint = _hinted(attrs) if attrs and not boiler and name in _HINTED else ""
+        boiler = name in _BOILER or (name == "header" and not article) or (name == "form" and article > 0)
+        hint = "form" if name == "form" and not boiler else _hinted(attrs) if attrs and not boiler and name in _HINTED else ""
         if hint and not attrs.endswith("/"):
             flush()
             if open_hints and open_hints[-1][0] == name:
@@ -220,7 +230,7 @@ def main_text(html: str, *, width: int = 3, surge: int = 80) -> str:
     lines, marked = lines_of(html)
     if not lines:
         return ""
-    size = [n for _, n, _ in lines]
+    size = [max(n, 0) for _, n, _ in lines]
     if marked:
         return "\n".join(t for t, n, _ in lines if n)
     sums = [sum(size[k : k + width]) for k in range(len(size))]
@@ -240,7 +250,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """Main text of every page, without a shuffle.
 
     Null and empty html give an empty text; null ids and urls are carried; rows
-    that repeat each give a row.  Returns ``page_id, url, text, n_chars``.
+    that repeat each give a row; an empty table gives an empty result; other
+    columns, whatever their names, are ignored.  A page of any length is read
+    whole, in time and memory that grow with its length.  Returns ``page_id, url, text, n_chars``.
     """
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
