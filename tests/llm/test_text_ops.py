@@ -1,14 +1,16 @@
 """Decontamination, SimHash, substrings, language, quality, HTML against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from culprit.llm import html as H
+from culprit.llm import html as H, langid as L
 from culprit.llm.components import connected_components
 from culprit.llm.decontam import decontaminate
 from culprit.llm.langid import identify, train as train_langid
@@ -90,7 +92,7 @@ def test_decontamination(spark, docs):
                     hit |= set(range(k, k + len(p)))
                     found |= ids
         want[3 * i - 50] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))
-    for size in (1 << 20, 50):  # one group of patterns, and several
+    for size in (1 << 20, 2000):  # one group of patterns, and several
         got = {r[0]: tuple(r)[1:6] for r in decontaminate(docs, bench, pattern_bytes=size, keep=("fp",)).collect()}
         assert got == want
     assert decontaminate(docs, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0
@@ -246,7 +248,79 @@ def test_html_dive_ends_unmarked_text():
 def test_decontamination_of_items_without_id(spark, docs):
     bench = spark.createDataFrame([(None, PASSAGE), (7, LINE)], "item_id long, text string")
     named = spark.createDataFrame([(1, PASSAGE), (7, LINE)], "item_id long, text string")
-    for size in (1 << 20, 50):
+    for size in (1 << 20, 2000):
         got, want = ({r.doc_id: r for r in decontaminate(docs, b, pattern_bytes=size).collect()} for b in (bench, named))
         assert all((got[k].n_hit, got[k].contaminated) == (w.n_hit, w.contaminated) for k, w in want.items())
         assert sum(r.contaminated and not r.n_items for r in got.values()) > 2 and max(r.n_items for r in got.values()) == 1
+
+
+def test_html_keeps_text_that_odd_markup_surrounds():
+    body = "".join(f"<p>{prose(30)}</p>" for _ in range(4))
+    plain = H.main_text(f"<div>{body}</div>")
+    assert H.main_text(f"<div><a name=x>{body}</div>") == plain  # nothing closes the anchor
+    assert H.main_text(f"<form action=x>{body}</form>") == plain  # a form around the whole page
+    assert H.main_text(f"<div class=ad>{body}") == plain  # nothing closes the advert
+    assert H.main_text(f"<form><p>Search the site</p></form><div>{body}</div><form><p>Subscribe now</p></form>") == plain
+    assert H.main_text(f"<div>{body}<p><a href=x>one linked paragraph</a></p>{body}</div>") == f"{plain}\none linked paragraph\n{plain}"
+    assert H.main_text(f"<article><section class='related-work'>{body}</section></article>") == plain
+    assert H.main_text("<article><p>a</p><form><p>form text</p></form><p>b</p></article>") == "a\nb"
+    assert H.main_text(f"<div>{body}</div><div>Copyright</div><div>Terms of use</div><div>Contact us</div>") == plain
+
+
+def line_blocks(size: list[int], width: int, surge: int) -> tuple[int, int]:
+    """First and last line by the definition: windows from the first surge to the last one before all sums stay low."""
+    sums = [sum(size[k : k + width]) for k in range(len(size))]
+    need = min(surge, max(sums))
+    first = next(k for k in range(len(sums)) if sums[k] >= need)
+    later = sorted(s for s in sums[first:] if s >= need)
+    usual = later[len(later) // 2]
+    low, again = max(usual // 4, min(need, usual)), max(usual // 2, min(need, usual))
+    open_at, up = [], True
+    for k in range(first, len(sums)):
+        up = sums[k] >= low if up else sums[k] >= again
+        if up:
+            open_at.append(k)
+    covered = [j for k in open_at for j in range(k, min(k + width, len(size))) if size[j] * width >= low or j == k]
+    return next(k for k in range(first, len(size)) if size[k]), max([*covered, first])
+
+
+def test_html_surge_and_dive_against_the_definition():
+    for _ in range(200):
+        size = [RNG.choice([0, 0, 5, 12, 150, 300]) for _ in range(RNG.randint(1, 25))]
+        if not any(size):
+            continue
+        page = "".join(f"<div>{chr(97 + k % 26) * n}</div>" for k, n in enumerate(size) if n)
+        size = [n for n in size if n]
+        first, last = line_blocks(size, 3, 80)
+        got = H.main_text(page).split("\n")
+        lengths = [len(x) for x in got]
+        assert lengths[: last - first + 1] == size[first : last + 1], (size, lengths)
+
+
+def test_language_needs_letters_and_knows_scripts(spark):
+    rows = [(0, "½ ²"), (1, "Ⅳ 12"), (2, "..."), (3, "ab\u0301c"), (4, "नमस्ते दुनिया")]
+    assert L.words_of(pa.array([t for _, t in rows])).to_pylist()[:3] == [[], [], []]
+    assert L.words_of(pa.array(["it's 2x नमस्ते—ok"])).to_pylist() == [["its", "x", "नमस्तेok"]]
+    for word, script in (("нет", "cyrillic"), ("aнет", "cyrillic"), ("नमस्ते", "devanagari"), ("naïve", "latin")):
+        assert L.SCRIPTS[L.scripts_of(L.code_points(word), np.zeros(1, np.int64))[0]] == script
+
+
+def test_viterbi_against_brute_force():
+    counts = [(lang, g, RNG.randint(1, 30)) for lang in ("aa", "bb", "cc") for g in {x for w in RNG.sample(VOCAB, 80) for x in L.grams_of(w)}]
+    counts += [(lang, "script:latin", 1000) for lang in ("aa", "bb", "cc")]
+    model = L.Model(counts, switch=2.0)
+    table = {(lang, g): n for lang, g, n in counts}
+    every = {g for _, g, _ in counts if not g.startswith("script:")}
+    total = {x: sum(n for (lang, g), n in table.items() if lang == x and g in every) for x in model.langs}
+    words = RNG.sample(VOCAB, 60) + ["zzz", "a" * 50]
+    for w, got in zip(words, model.score(words), strict=True):
+        s = np.array([sum(np.log((table.get((x, g), 0) + 0.5) / (total[x] + 0.5 * (len(every) + 1))) for g in L.grams_of(w)) for x in model.langs])
+        assert np.allclose(got, np.maximum(s - s.max(), -8), atol=2e-3)
+    for _ in range(40):
+        text = RNG.choices(VOCAB, k=RNG.randint(1, 7))
+        s = model.score(text)
+        best = max(itertools.product(range(3), repeat=len(text)), key=lambda p: (sum(float(s[k, x]) for k, x in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))))
+        value = lambda p: sum(float(s[k, x]) for k, x in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
+        (_, _, spans), = L.Labeller(model).label(pa.array([" ".join(text)]), spans=True)
+        path = [model.langs.index(x["lang"]) for x in spans for _ in range(x["first"], x["last"] + 1)]
+        assert abs(value(path) - value(best)) < 1e-3

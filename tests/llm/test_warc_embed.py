@@ -112,3 +112,22 @@ def test_links(spark):
     assert all(got[k] == (0, k, True) for k in range(900, 906))
     assert got[906] == (1, 906, True) and got[907] == (1, 906, False)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_counts_are_symmetric_and_ids_may_repeat(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 12))
+    x[40:160] = x[0] + rng.normal(scale=0.12, size=(120, 12))  # near the bound: searches may find a link from one end only
+    x[170:200] = x[1]
+    ids = [int(k) for k in range(300)]
+    ids[250], ids[251] = 5, 5  # one id, three vectors
+    rows = [(i, [float(v) for v in r], "n", 1) for i, r in zip(ids, x, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links string, no int")
+    got = near_duplicates(df, shard=60, ef=4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    want = sorted((i, int(n)) for i, n in zip(ids, link.sum(axis=1), strict=True))
+    assert sorted((r.vec_id, r.n_links) for r in got.collect()) == want
+    one = {r.vec_id for r in got.where("component_id = 0").collect()}
+    assert {*range(40, 160)} <= one
