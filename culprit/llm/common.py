@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -70,6 +71,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freeing(run: Callable) -> Callable:
+    """``run`` over a task's batches; then free memory goes back to the system, as the worker and what other tasks need live on."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 def arrow_map(
     df: DataFrame,
     schema: str,
@@ -87,7 +100,7 @@ def arrow_map(
             for cols in step(batch):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freeing(run), schema)
 
 
 def texts(column: pa.Array) -> list[str]:

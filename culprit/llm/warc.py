@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from culprit.llm.common import discard, materialize, remove, shared_dir
+from culprit.llm.common import discard, freeing, materialize, remove, shared_dir
 
 #: Compressed bytes of a chunk of records, or one record, and chunks in a file: a task holds a file's compressed bytes.
 CHUNK_BYTES, FILE_CHUNKS = 4 << 20, 8
@@ -94,7 +94,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
                     block,
                 )
 
-    _write(pages.select("page_id", "url", "html").mapInArrow(lambda batches: chunked(records(batches)), "value binary"), path)
+    _write(pages.select("page_id", "url", "html").mapInArrow(freeing(lambda batches: chunked(records(batches))), "value binary"), path)
 
 
 def _urn(name: str) -> str:
@@ -149,7 +149,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    return _files(spark, path).mapInArrow(run, ", ".join(f"{k} {names[t]}" for k, t in kinds.items()))
+    return _files(spark, path).mapInArrow(freeing(run), ", ".join(f"{k} {names[t]}" for k, t in kinds.items()))
 
 
 def verified(headers: dict[str, str], block: bytes) -> bytes:
@@ -169,7 +169,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     row = (_number(h.get("x-page-id")), h.get("warc-target-uri"), h["warc-type"], verified(h, block).decode())
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["page_id", "url", "record_type", "html"])
 
-    return _files(spark, path).mapInArrow(run, "page_id long, url string, record_type string, html string")
+    return _files(spark, path).mapInArrow(freeing(run), "page_id long, url string, record_type string, html string")
 
 
 def resolve(headers: DataFrame, *, least_bytes: int = 0) -> DataFrame:
@@ -195,7 +195,8 @@ def deduplicate(spark: SparkSession, path: str, fresh: str, *, least_bytes: int
     The lists of revisits by file are shipped whole while they have at most
     ``shipped_bytes``; larger ones meet their files' compressed bytes in a join.
     """
-    decided = resolve(read_headers(spark, path), least_bytes=least_bytes).where("record_type = 'revisit'")
+    headers = materialize(read_headers(spark, path), "warc-headers")  # read once, though resolution needs them twice
+    decided = resolve(headers, least_bytes=least_bytes).where("record_type = 'revisit'")
     lists = decided.groupBy("file").agg(F.collect_list(F.struct("ordinal", "refers_to", "refers_record", "refers_url")).alias("revisits"))
     lists = materialize(lists, "warc-revisits")
     size = lists.agg(F.sum(F.aggregate("revisits", F.lit(0).cast("long"), lambda n, r: n + 80 + F.coalesce(F.octet_length(r["refers_url"]), F.lit(0))))).first()[0] or 0
@@ -220,8 +221,8 @@ def deduplicate(spark: SparkSession, path: str, fresh: str, *, least_bytes: int
                     yield record_of(made, block)
 
     joined = _files(spark, path).join(hinted, "file", "left").select("content", "revisits")
-    _write(joined.mapInArrow(lambda batches: chunked(records(batches)), "value binary"), fresh)
-    discard(lists)
+    _write(joined.mapInArrow(freeing(lambda batches: chunked(records(batches))), "value binary"), fresh)
+    discard(headers, lists)
 
 
 def archive_and_deduplicate(
