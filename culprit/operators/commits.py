@@ -37,8 +37,26 @@ def latest(commits: DataFrame) -> DataFrame:
     return commits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def enrich(nodes: DataFrame, commits: DataFrame, root: str = "") -> DataFrame:
-    """Nodes with their file's latest commit; files without commits keep what they have."""
+COMMIT = "struct<sha:string,commit:struct<message:string,author:struct<name:string,date:string>,committer:struct<date:string>>>"
+
+
+def from_responses(responses: DataFrame) -> DataFrame:
+    """``file_path, status, body`` of a commits API to commit rows.
+
+    A body is a JSON array, newest first.  Only status 200 gives commits; the
+    committer's date counts before the author's, and seven digits of the sha are kept.
+    """
+    each = responses.where("status = 200").select("file_path", F.posexplode(F.from_json("body", f"array<{COMMIT}>")).alias("pos", "c"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    date = F.coalesce(F.nullif("c.commit.committer.date", F.lit("")), F.nullif("c.commit.author.date", F.lit("")), F.lit(""))
+    return each.select("file_path", "pos", F.substring(text("c.sha"), 1, 7).alias("sha"), text("c.commit.message").alias("message"), text("c.commit.author.name").alias("author_name"), date.alias("author_date"))
+
+
+def enrich(nodes: DataFrame, commits: DataFrame, root: str = "", only: DataFrame | None = None) -> DataFrame:
+    """Nodes with their file's latest commit; files without commits, and nodes outside ``only(id)``, keep what they have."""
+    if only is not None:
+        chosen = enrich(nodes.join(only.select("id"), "id", "left_semi").select(nodes.columns), commits, root)
+        return chosen.union(nodes.join(only.select("id"), "id", "left_anti").select(nodes.columns))
     last = latest(commits).select(F.col("file_path").alias("_file"), F.col("message").alias("_m"), F.col("author_date").alias("_d"), F.col("author_name").alias("_a"), F.col("sha").alias("_s"))
     joined = nodes.withColumn("_file", relative_path(F.col("file_path"), F.lit(root))).join(last, "_file", "left")
     new = dict(zip(META, ("_m", "_d", "_a", "_s"), strict=True))

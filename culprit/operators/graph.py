@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 NODES = (
@@ -154,7 +156,7 @@ def subgraph(ids: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 40
 
 def sample_nodes(nodes: DataFrame, limit: int = 500, seed: int = 0) -> DataFrame:
     """A sample that repeats for a seed, by a hash of id and seed."""
-    return nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(limit)
+    return nodes.orderBy(F.md5(F.concat("id", F.lit(f"|{seed}"))), "id").limit(limit)
 
 
 _COLORS = {"function": "#4C9BE8", "class": "#E8874C", "module": "#6BBF59", "variable": "#B58CD9"}
@@ -167,6 +169,23 @@ def display(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.col("name").alias("label"), title.alias("title"), color.alias("color"))
 
 
+_EDGE_COLORS = {"CALLS": "#4C9BE8", "IMPORTS": "#6BBF59", "EXTENDS": "#E8874C", "CONTAINS": "#999999", "RAISES": "#D9534F", "CATCHES": "#F0AD4E", "DECORATES": "#B58CD9"}
+
+
+def display_edges(edges: DataFrame) -> DataFrame:
+    """``source_id, target_id, title, color, dashes`` for a graph view; unresolved edges are dashed."""
+    color = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in _EDGE_COLORS.items() for x in kv)), F.col("relationship")), F.lit("#999999"))
+    title = F.concat_ws("\n", "relationship", F.concat(F.lit("confidence "), F.format_number("confidence", 2)))
+    return edges.select("source_id", "target_id", title.alias("title"), color.alias("color"), (~F.col("is_resolved")).alias("dashes"))
+
+
+def stats_by(graphs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``graph_key, nodes, edges`` of named graphs."""
+    rows = [d.select(F.lit(k).alias("graph_key"), F.lit(i).alias("what")) for k, parts in sorted(graphs.items()) for i, d in enumerate(parts)]
+    counted = reduce(DataFrame.union, rows).groupBy("graph_key").agg(F.count_if(F.col("what") == 0).alias("nodes"), F.count_if(F.col("what") == 1).alias("edges"))
+    return counted.orderBy("graph_key")
+
+
 def compare(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
     """Keys that only one table has or whose rows differ."""
     columns = sorted(set(a.columns) & set(b.columns))
@@ -176,6 +195,34 @@ def compare(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
     return both.select(key, state.alias("state")).where("state is not null")
 
 
+NODE_TYPES = ("function", "class", "module", "variable")
+
+
+def verify_stored(one: tuple[DataFrame, DataFrame], other: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """One row for two stored forms of a graph that must agree and be sound.
+
+    Counts and all rows are compared, edges must end at nodes (an unresolved
+    edge may not; a source is only missed if it looks like an id), nodes need id,
+    path and a known type, and some function's neighbours must be readable.
+    """
+    (nodes, edges), (nodes2, edges2) = one, other
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    n = nodes.agg(
+        F.count("*").alias("nodes"), F.count_if(empty("id")).alias("no_id"), F.count_if(~F.coalesce("type", F.lit("")).isin(*NODE_TYPES)).alias("bad_type"), F.count_if(empty("file_path")).alias("no_path"),
+        F.min(F.when(F.col("type") == "function", F.col("id"))).alias("start"),
+    )
+    e = edges.agg(F.count("*").alias("edges"), F.count_if("is_resolved").alias("resolved"), F.count_if(~F.col("is_resolved")).alias("unresolved"))
+    lost = dangling(edges, nodes).join(edges.select("id", "is_resolved"), "id")
+    d = lost.agg(F.count_if((F.col("end") == "target") & F.col("is_resolved")).alias("dangling_edges"), F.count_if(F.col("end") == "source").alias("missing_sources"))
+    differ = compare(nodes, nodes2).agg(F.count("*").alias("node_differences")).crossJoin(compare(edges, edges2).agg(F.count("*").alias("edge_differences")))
+    row = n.crossJoin(e).crossJoin(d).crossJoin(differ)  # single rows
+    near = neighbors(nodes, edges).select(F.col("id").alias("start"), F.lit(1).alias("_met"))
+    row = row.join(near, "start", "left").groupBy(*row.columns).agg(F.count("_met").alias("neighbors"))
+    match = (F.col("node_differences") == 0) & (F.col("edge_differences") == 0)
+    sound = sum((F.col(c) for c in ("no_id", "bad_type", "no_path", "missing_sources", "dangling_edges")), F.lit(0)) == 0
+    return row.withColumn("counts_match", match).withColumn("all_passed", match & sound).drop("start")
+
+
 def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row with the counts that a stored graph must satisfy."""
     n = nodes.agg(F.count("*").alias("nodes"), F.countDistinct("id").alias("node_ids"), F.count_if(F.coalesce(F.col("name"), F.lit("")) == "").alias("unnamed"))

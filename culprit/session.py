@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder where that is unset (tests)."""
+    """Reliable checkpoint in ``spark.checkpoint.dir``; where that is unset, a temporary folder in local mode (tests), an error on a cluster."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="culprit-"))
     return df.checkpoint(eager=True)

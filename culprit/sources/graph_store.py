@@ -8,9 +8,24 @@ from culprit.operators.graph import EDGES, NODES, duplicates
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """K2, K4: Parquet, edges partitioned by relationship."""
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("relationship").parquet(f"{path}/edges")
+    """K2, K4: Parquet, edges partitioned by relationship.
+
+    The tables may come from the same path: they are written beside it and
+    put in its place when both are complete.
+    """
+    spark = nodes.sparkSession
+    fresh, old = f"{path}.writing", f"{path}.old"
+    nodes.write.mode("overwrite").parquet(f"{fresh}/nodes")
+    edges.write.mode("overwrite").partitionBy("relationship").parquet(f"{fresh}/edges")
+    hadoop = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hadoop(old), True)
+    if fs.exists(hadoop(path)):
+        fs.rename(hadoop(path), hadoop(old))
+    fs.rename(hadoop(fresh), hadoop(path))
+    fs.delete(hadoop(old), True)
+    for part in ("nodes", "edges"):
+        spark.catalog.refreshByPath(f"{path}/{part}")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -19,6 +34,30 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema(NODES).parquet(f"{path}/nodes"), edges
 
 
+_PLAIN_NODE = ("id", "name", "type", "file_path", "line_number", "language", "docstring", "confidence", "last_modified")
+_PLAIN_EDGE = ("id", "source_id", "target_id", "relationship", "confidence", "is_resolved")
+
+
+def write_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """K1: one JSON document ``{"nodes": [...], "edges": [...]}`` in a folder, an element a line, which :func:`read_document` reads.
+
+    Elements are in insertion order.  A document is one file, so one task writes
+    it, a row at a time; JSON lines (:func:`write_json`) have no such limit.
+    """
+    spark = nodes.sparkSession
+
+    def lines(d: DataFrame, plain: tuple[str, ...], at: int) -> DataFrame:
+        more = [c for c in d.columns if c not in plain and c not in ("ord", "metadata")]
+        rows = d.select("ord", "id", F.to_json(F.struct(*(c for c in plain if c in d.columns), F.struct(*more).alias("metadata"))).alias("value"))
+        first = rows.agg(F.min(F.struct("ord", "id")).alias("f"))
+        comma = F.when(F.struct("ord", "id") == F.col("f"), "    ").otherwise("  , ")
+        return rows.join(F.broadcast(first)).select(F.lit(at).alias("part"), "ord", "id", F.concat(comma, "value").alias("value"))  # one row
+
+    fixed = spark.createDataFrame([(0, '{\n  "nodes": ['), (2, '  ],\n  "edges": ['), (4, "  ]\n}")], "part int, value string")
+    every = fixed.select("part", F.lit(0).cast("long").alias("ord"), F.lit("").alias("id"), "value").union(lines(nodes, _PLAIN_NODE, 1)).union(lines(edges, _PLAIN_EDGE, 3))
+    every.repartition(1).sortWithinPartitions("part", "ord", "id").select("value").write.mode("overwrite").text(path)
+
+
 def write_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """K1: one JSON object a line, ``kind`` telling nodes from edges."""
     rows = nodes.select(F.to_json(F.struct(F.lit("node").alias("kind"), "*")).alias("value"))
