@@ -15,15 +15,17 @@ item doesn't shorten the jumps for long windows.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from culprit.llm.common import discard, materialize
+from culprit.llm.common import freeing, materialize
 
 #: Bytes of windows that one pass ships to the executors.
 PATTERN_BYTES = 8 << 20
@@ -136,62 +138,112 @@ def decontaminate(
     """Per document: words, hit words, items with windows in it.
 
     The driver streams the benchmark and ships its windows in groups of
-    ``pattern_bytes``, one group at a time: a benchmark of more than one group is
-    searched in one pass over the documents a group, whose finds are written
-    between the passes, so what is broadcast has that bound whatever the
-    benchmark.  Documents are never shuffled.  Null texts have no words; empty
-    benchmark items have no window; windows of items with a null id count as hits,
-    but not in ``n_items`` and ``items_sha256``; repeated items and rows are handled like
-    others; an empty benchmark leaves every document clean.  ``keep`` names
-    columns to carry along.  Returns ``doc_id, n_words, n_hit, n_items,
-    items_sha256, contaminated`` and ``keep``.
+    ``pattern_bytes``, one group at a time, so what is broadcast has that bound
+    whatever the benchmark.  A benchmark of one group takes one pass over the
+    documents, which are then never shuffled.  Each further group reads them once
+    more and writes what it finds, a row for a document with finds; those rows
+    meet the documents by id and a digest of the text.  Null texts have no words;
+    empty benchmark items have no window; windows of items with a null id count
+    as hits, but not in ``n_items`` and ``items_sha256``; repeated items and rows
+    are handled like others; a very long text takes memory in proportion to it;
+    an empty benchmark leaves every document clean; an empty table gives an empty
+    result.  ``keep`` names columns to carry along; others, whatever their names,
+    are ignored.  Returns ``doc_id, n_words, n_hit, n_items, items_sha256,
+    contaminated`` and ``keep``.
     """
+    spark = docs.sparkSession
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
     groups = window_groups(((r[0], r[1]) for r in rows.toLocalIterator()), width, pattern_bytes)
     carried = [T.StructField(f"keep_{i}", docs.schema[k].dataType) for i, k in enumerate(keep)]
-    found = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"),
-        *(docs[k].alias(f.name) for k, f in zip(keep, carried, strict=True)),
-    )
-    schema = _schema([("doc_id", T.LongType()), ("text", T.StringType()), ("spans", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType()))], carried)
-    group, passed = next(groups, {}), []
-    while (later := next(groups, None)) is not None:
-        shipped = docs.sparkSession.sparkContext.broadcast(group)
-        found = materialize(found.mapInArrow(_pass(shipped, len(carried)), schema), "decontam-pass")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *(docs[k].alias(f.name) for k, f in zip(keep, carried, strict=True)))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *_RESULT, *carried])
+    group, found = next(groups, {}), []
+    if (later := next(groups, None)) is None:
+        result = texts.mapInArrow(freeing(_one_pass(spark.sparkContext.broadcast(group))), schema)
+        return result.toDF(*schema.names[:6], *keep)
+    while group:
+        shipped = spark.sparkContext.broadcast(group)
+        found.append(materialize(texts.select("doc_id", "text").mapInArrow(freeing(_finds(shipped)), "doc_id long, mark binary, spans array<long>, items array<string>"), "decontam-finds"))
         shipped.destroy()
-        discard(*passed)
-        passed, group = [found], later
-    schema = _schema([*((n, T.LongType()) for n in ("doc_id", "n_words", "n_hit", "n_items")), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())], carried)
-    result = found.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(group), len(carried), last=True), schema)
-    return result.toDF(*schema.names[:6], *keep)
+        group, later = later, next(groups, None)
+    every = reduce(DataFrame.union, found).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    # repeated rows have the same finds, which merge to the same spans
+    every = every.agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    counted = texts.mapInArrow(freeing(_counts), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("mark", T.BinaryType()), *carried]))
+    joined = counted.join(every, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    joined = joined.select("doc_id", "n_words", "spans", "items", *(f.name for f in carried))
+    return joined.mapInArrow(freeing(_merged), schema).toDF(*schema.names[:6], *keep)
 
 
-def _schema(fields: list[tuple[str, T.DataType]], carried: list[T.StructField]) -> T.StructType:
-    return T.StructType([*(T.StructField(n, t) for n, t in fields), *carried])
+_RESULT = [*(T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
 
 
-def _pass(shipped: Broadcast, extra: int, last: bool = False):
-    """Search one group of windows in ``doc_id, text, spans, items`` rows: those rows with its finds, or the results."""
+def _mark(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _finished(first: pa.Array, rows: list[tuple[int, list[tuple[int, int]], set[str]]], rest: list[pa.Array]) -> pa.RecordBatch:
+    """Results of ``(words, disjoint spans, items)`` rows."""
+    hits = [sum(z - a for a, z in spans) for _, spans, _ in rows]
+    made = [
+        pa.array([n for n, _, _ in rows], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(i) for _, _, i in rows], pa.int64()),
+        pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for _, _, i in rows], pa.string()),
+        pa.array([hit > 0 and 20 * hit >= n for (n, _, _), hit in zip(rows, hits, strict=True)], pa.bool_()),
+    ]
+    return pa.RecordBatch.from_arrays([first, *made, *rest], names=["doc_id", *(f.name for f in _RESULT), *(f"keep_{i}" for i in range(len(rest)))])
+
+
+_KEPT: dict[str, tuple[dict, list[WuManber]]] = {}
+
+
+def _tables(shipped: Broadcast, name: str) -> tuple[dict, list[WuManber]]:
+    """Search tables of a broadcast group; a worker keeps those of the last group for its next tasks."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = shipped.value, searchers(list(shipped.value))
+    return _KEPT[name]
+
+
+def _searched(shipped: Broadcast, name: str, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+    table, search = _tables(shipped, name)
+    for text in texts.to_pylist():
+        words = words_of(text) if text else []
+        yield (len(words), *(occurrences(words, search, table) if words and table else ([], set())))
+
+
+def _one_pass(shipped: Broadcast):
+    name = uuid.uuid4().hex
 
     def run(batches):
-        table = shipped.value
-        search = searchers(list(table))
-        for batch in batches:
-            out = []
-            for text, before, had in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                words = words_of(text) if text else []
-                spans, items = occurrences(words, search, table) if words and table else ([], set())
-                spans = merged(spans + list(zip(before[::2], before[1::2], strict=True))) if before else spans
-                items |= set(had)
-                if not last:
-                    out.append(([x for s in spans for x in s], sorted(items)))
-                    continue
-                hit = sum(z - a for a, z in spans)
-                out.append((len(words), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0 and 20 * hit >= len(words)))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_()] if last else [pa.list_(pa.int64()), pa.list_(pa.string())]
-            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] if last else ["doc_id", "text", "spans", "items"]
-            columns = [*batch.columns[: 1 if last else 2], *made, *batch.columns[4:]]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(f"keep_{i}" for i in range(extra))])
+        for b in batches:
+            yield _finished(b.column(0), list(_searched(shipped, name, b.column(1))), b.columns[2:])
 
     return run
+
+
+def _finds(shipped: Broadcast):
+    name = uuid.uuid4().hex
+
+    def run(batches):
+        for b in batches:
+            found = [(k, [x for s in spans for x in s], sorted(items)) for k, (_, spans, items) in enumerate(_searched(shipped, name, b.column(1))) if spans]
+            at = pa.array([f[0] for f in found], pa.int64())
+            marks = [_mark(t) for t in b.column(1).take(at).to_pylist()]
+            made = [pa.array(marks, pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *made], names=["doc_id", "mark", "spans", "items"])
+
+    return run
+
+
+def _counts(batches):
+    for b in batches:
+        texts = [t or "" for t in b.column(1).to_pylist()]
+        made = [pa.array([len(words_of(t)) for t in texts], pa.int64()), pa.array(list(map(_mark, texts)), pa.binary())]
+        yield pa.RecordBatch.from_arrays([b.column(0), *made, *b.columns[2:]], names=["doc_id", "n_words", "mark", *(f"keep_{i}" for i in range(b.num_columns - 2))])
+
+
+def _merged(batches):
+    for b in batches:
+        n, spans, items = (b.column(k).to_pylist() for k in (1, 2, 3))
+        rows = [(k, merged(list(zip(s[::2], s[1::2], strict=True))) if s else [], set(i or ())) for k, s, i in zip(n, spans, items, strict=True)]
+        yield _finished(b.column(0), rows, b.columns[4:])
