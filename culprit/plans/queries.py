@@ -38,10 +38,14 @@ def query(sql: str | None = None, *views: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import culprit.plans.queries_upkeep  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import culprit.plans.queries_upkeep  # noqa: F401
+
     return dict(_ORACLES)
 
 
@@ -187,7 +191,7 @@ def kg_subgraph_first40(s: Star) -> DataFrame:
     return G.subgraph(ids, s.nodes, s.edges, 40)[1].select("source_id", "target_id", "relationship")
 
 
-@query()
+@query("select id, name from nodes order by md5(id || '|3'), id limit 500", "nodes")
 def kg_sample_nodes(s: Star) -> DataFrame:
     return G.sample_nodes(s.nodes, 500, seed=3).select("id", "name")
 
@@ -543,9 +547,10 @@ def raises_align(s: Star) -> DataFrame:
 _SCORE_BASE = f"""{_ENTRIES},
     parsed as (select incident_id, split_part(regexp_extract(raw_text, '\\n([A-Za-z.]+): [^\\n]*$', 1), '.', -1) as error_type,
       regexp_extract(raw_text, '\\n[A-Za-z.]+: ([^\\n]*)$', 1) as error_message, regexp_extract_all(raw_text, ', in (\\S+)', 1) as fs, regexp_extract_all(raw_text, '/([^/"]+)\\.py"', 1) as ss from incidents),
-    kw as (select incident_id, error_type, list_distinct(list_filter(list_concat(list_concat(case error_type when 'StatusFError' then ['status'] when 'StockTimeoutError' then ['stock', 'timeout'] else ['value'] end,
+    kw0 as (select incident_id, error_type, list_filter(list_concat(list_concat(case error_type when 'StatusFError' then ['status'] when 'StockTimeoutError' then ['stock', 'timeout'] else ['value'] end,
         list_filter(regexp_extract_all(error_message, '[a-z_]+'), lambda x: x not in ('in', 'of', 'is', 'no'))),
-      list_concat(list_concat(string_split(lower(fs[1]), '_'), string_split(lower(fs[2]), '_')), list_transform(ss, lambda x: lower(x)))), lambda x: len(x) > 1)) as k from parsed),
+      list_concat(list_concat(string_split(lower(fs[1]), '_'), string_split(lower(fs[2]), '_')), list_transform(ss, lambda x: lower(x)))), lambda x: len(x) > 1) as k0 from parsed),
+    kw as (select incident_id, error_type, list_filter(k0, lambda x, i: list_position(k0, x) = i) as k from kw0),
     sig as (select n.id as node_id, n.name, case when last_commit_date is null then null else {_DAYS} end as days,
       lower(concat_ws(' ', nullif(n.name, ''), nullif(n.docstring, ''), nullif(n.last_commit_message, ''))) as hay, coalesce(c.n, 0) as calls_out, coalesce(r.f, false) as raises_f
       from nodes n left join (select source_id, count(*) as n from edges where relationship = 'CALLS' group by 1) c on c.source_id = n.id
@@ -749,13 +754,3 @@ def incident_windows(s: Star) -> DataFrame:
 )
 def incident_sessions(s: Star) -> DataFrame:
     return ST.sessions(s.table("events"))
-
-
-@query()
-def extract_sources(s: Star) -> DataFrame:
-    """X1-X5 over source texts made from the part table: a module per brand with a function per part."""
-    body = F.concat(F.lit("def "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("(self, n):\n    '''"), F.col("p_type"), F.lit("'''\n    return check(n) + len(str(n))\n"))
-    files = s.table("part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(body)), "\n").alias("text"))
-    order = F.regexp_extract("p_brand", r"(\d+)", 1).cast("long")
-    graph = ingest.build(files.select(F.concat("p_brand", F.lit(".py")).alias("file_path"), F.encode("text", "utf-8").alias("content"), order.alias("file_ord")))
-    return graph.edges.groupBy("relationship", "is_resolved", "builtin_kind").agg(F.count("*").alias("n"))
