@@ -72,6 +72,12 @@ def merge(parts: list[DataFrame], key: str = "id") -> DataFrame:
     return first_by_id(out, "_part", "ord", key=key).drop("_part")
 
 
+def get_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of ``ids(id)``, with ``has_node``; an unknown id gives a row of nulls."""
+    known = nodes.withColumn("has_node", F.lit(True))
+    return ids.join(known, "id", "left").withColumn("has_node", F.coalesce("has_node", F.lit(False)))
+
+
 def incident_edges(edges: DataFrame, ids: DataFrame, outgoing: bool = True) -> DataFrame:
     """Edges from (or to) the ids of a one-column table."""
     end = "source_id" if outgoing else "target_id"

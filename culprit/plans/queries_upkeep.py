@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from culprit.functions import incident as I
 from culprit.operators import commits, extract, graph as G, semantic as T, verify as C
 from culprit.plans import diagnose as D, ingest
-from culprit.plans.queries import _VERIFIED, _candidates, query
+from culprit.plans.queries import _TOKENS, _VERIFIED, _candidates, _docs, query
 from culprit.plans.starview import AS_OF, Star
 from culprit.session import shared_folder
 from culprit.sources import graph_store, repository
@@ -101,6 +101,19 @@ def kg_update(s: Star) -> DataFrame:
     return e.select("source_id", "relationship", "target_id", "is_resolved", "builtin_kind", F.round("confidence", 6).alias("confidence"))
 
 
+@query(
+    """select p_brand || '.py' as file_path, cast(2 * count(*) + 1 as bigint) as functions, count(*) as classes, cast(2 as bigint) as errors, 'café' as docstring from part group by p_brand"""
+)
+def extract_recovery(s: Star) -> DataFrame:
+    """A file with one broken statement gives the others; bytes that are no UTF-8 are read as Latin-1; unknown suffixes give nothing."""
+    broken = "\n\ndef bad(:\n    pass\n\ndef ok():\n    '''café'''\n    return 1\n"
+    files = _files(s, _blocks()).withColumn("content", F.encode(F.concat(F.decode("content", "utf-8"), F.lit(broken)), "ISO-8859-1"))
+    files = files.union(files.withColumn("file_path", F.replace("file_path", F.lit(".py"), F.lit(".txt"))))
+    nodes, _, errors = extract.to_graph(D.checkpoint(extract.parse_files(files)))
+    n = nodes.groupBy("file_path").agg(F.count_if(F.col("type") == "function").alias("functions"), F.count_if(F.col("type") == "class").alias("classes"), F.max(F.when(F.col("name") == "ok", F.col("docstring"))).alias("docstring"))
+    return n.join(errors.groupBy("file_path").agg(F.count("*").alias("errors")), "file_path", "left")
+
+
 # --- files, commits, storage -----------------------------------------------------------
 
 @query(
@@ -203,6 +216,49 @@ def kg_display_edges(s: Star) -> DataFrame:
     return G.display_edges(s.edges)
 
 
+@query("select id, 2 as n from nodes where type <> 'function'", "nodes")
+def kg_duplicate_ids(s: Star) -> DataFrame:
+    """Ids that a table has more than once."""
+    return G.duplicates(s.nodes.union(s.nodes.where("type <> 'function'")))
+
+
+@query("select 'parts/' || p_brand || '.py::p' || cast(p_partkey + 3 as varchar) || '::' || replace(p_name, ' ', '_') as id, n.name, n.id is not null as has_node from part left join nodes n on n.id = 'parts/' || p_brand || '.py::p' || cast(p_partkey + 3 as varchar) || '::' || replace(p_name, ' ', '_')", "nodes")
+def kg_get_nodes(s: Star) -> DataFrame:
+    """Known and unknown ids."""
+    ids = s.sql("select 'parts/' || p_brand || '.py::p' || cast(p_partkey + 3 as string) || '::' || replace(p_name, ' ', '_') as id from {part}")
+    return G.get_nodes(s.nodes, ids).select("id", "name", "has_node")
+
+
+@query(
+    """select 'from' as side, relationship, count(*) as n from edges where source_id in (select id from nodes where type = 'class') group by relationship
+    union all select 'to', relationship, count(*) from edges where target_id in (select id from nodes where type = 'class') group by relationship""",
+    "nodes", "edges",
+)
+def kg_incident_edges(s: Star) -> DataFrame:
+    """G3."""
+    ids = s.nodes.where("type = 'class'").select("id")
+    count = lambda d, side: d.groupBy(F.lit(side).alias("side"), "relationship").agg(F.count("*").alias("n"))
+    return count(G.incident_edges(s.edges, ids), "from").union(count(G.incident_edges(s.edges, ids, outgoing=False), "to"))
+
+
+@query("select cast(o_custkey % 3 as varchar) as graph, cast(o_custkey as varchar) as repo, max_by(cast(o_orderkey as varchar), cast(o_orderdate as varchar) || cast(o_orderkey as varchar)) as last_hash, max(cast(o_orderdate as varchar) || cast(o_orderkey as varchar)) as updated from orders group by 1, 2")
+def state_latest(s: Star) -> DataFrame:
+    """Ingestion state, written in two parts and read back."""
+    rows = s.sql("select cast(o_custkey % 3 as string) as graph, cast(o_custkey as string) as repo, cast(o_orderkey as string) as last_hash, 'u' as clone_url, cast(o_orderdate as string) || cast(o_orderkey as string) as updated, o_orderkey from {orders}")
+    path = f"{shared_folder(s.spark)}/culprit/state-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        graph_store.write_state(rows.where(F.col("o_orderkey") % 2 == part).drop("o_orderkey"), path)
+    return graph_store.read_state(s.spark, path).select("graph", "repo", "last_hash", "updated")
+
+
+@query(f"with {_TOKENS} select doc, count(*) as terms, round(sum(tf * idf), 6) as total from tf join idf using (term) group by doc")
+def tfidf_stored(s: Star) -> DataFrame:
+    """The text index, written and read back."""
+    path = f"{shared_folder(s.spark)}/culprit/index-{uuid.uuid4().hex}"
+    graph_store.write_index(*T.index(_docs(s)), path)
+    return graph_store.read_index(s.spark, path)[0].groupBy("doc").agg(F.count("*").alias("terms"), F.round(F.sum("tfidf"), 6).alias("total"))
+
+
 # --- incidents ------------------------------------------------------------------------
 
 #: Texts with Windows line ends, repeated frames, and messages that go on over lines.
@@ -303,3 +359,13 @@ def report_subgraph_edges(s: Star) -> DataFrame:
     return D.subgraphs(d, s.nodes, s.edges)[1]
 
 
+
+
+@query(
+    """select incident_id, case when k < 2 then '' else 'Crash site not found in graph. Functions searched: none extracted from trace' end as no_result_reason, k < 2 as is_valid
+    from (select incident_id, cast(incident_id as bigint) % 4 as k from log_lines)""",
+    "nodes", "log_lines",
+)
+def diagnose_failures(s: Star) -> DataFrame:
+    """Why an incident has no diagnosis."""
+    return D.diagnose(s.log_lines, s.nodes, s.edges, AS_OF).reports.select("incident_id", "no_result_reason", "is_valid")
