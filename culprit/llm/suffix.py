@@ -1,14 +1,12 @@
-"""Exact removal of repeated substrings by bucket refinement.
+"""Exact removal of repeated substrings by bucket-pointer refinement.
 
 A byte position is in a *bucket* with all positions whose next ``q`` bytes are
-equal.  Bucket pointers are refined as in bucket-pointer refinement: the bucket
-of ``2q`` bytes is given by the pointers at offsets 0 and ``q``, and so on
-(8, 16, 32 bytes, then the whole window from the pointers at 0, 32, 64 and
-window - 32), each level reusing the one before.  Pointers are 64-bit content
-identifiers rather than ranks, so shards agree on them without a global sort.
-
-Sorting every position of the corpus would be far too much, so the buckets are
-refined where it matters:
+equal.  Sorting every position of the corpus would be far too much, so positions
+get *identifiers* first, which shards agree on without a global sort: that of
+``2q`` bytes comes from those at offsets 0 and ``q``, and so on (8, 16, 32 bytes,
+then the whole window from 0, 32, 64 and window - 32).  They deal the corpus into
+groups that may hold equal windows, and the suffixes of a group are sorted by
+bucket-pointer refinement (:func:`bucket_pointers`), which compares bytes:
 
 1. A window's *key* is the least 32-byte pointer inside it; equal windows have
    equal keys.  Consecutive windows with one key form a *run*.  Keys that one
@@ -17,9 +15,10 @@ refined where it matters:
    whose content occurs in an earlier document is repeated as a whole.
 3. Where different contents share a key, the first run of each content is
    refined to single windows.  Buckets of up to ``GROUP`` contents are dealt by
-   key and compared where they meet.  In larger ones the windows are grouped
-   under longer (64-byte) keys, and each document gets the repeated windows
-   of the keys that it has, so what is sent back is a row per document and key.
+   key, and refined where they meet.  Larger ones can't meet in one task: their
+   windows are grouped by key and identifier (128 bits), and each document gets
+   the repeated windows of the longer (64-byte) keys that it has, so what is sent
+   back is a row per document and key.
 
 The other steps are grouped minima, which Spark aggregates before the shuffle,
 and joins that it may split, so no large bucket meets in one task.  Repeats
@@ -35,13 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from culprit.llm.common import discard, materialize
+from culprit.llm.common import discard, freeing, materialize
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S1, _S2 = np.uint64(29), np.uint64(32)
 _Q = 32
 #: Contents of one key that may be compared in one task; larger buckets go by single windows.
-GROUP = 256
+GROUP = 100
 #: Repeated windows in one row that goes back to the documents of a key.
 LIST = 1024
 
@@ -145,7 +144,7 @@ def _emit_runs(docs: DataFrame, window: int, contents: bool) -> DataFrame:
             cols += [_i64(np.concatenate(cont)), pa.array(np.concatenate(own))]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.mapInArrow(freeing(run), ", ".join(f"{c} long" for c in names))
 
 
 _OPEN = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("whole", pa.int64()), ("bytes", pa.binary())])
@@ -207,24 +206,85 @@ def _emit_open(docs: DataFrame, window: int) -> DataFrame:
         if size:
             yield from _met_windows(found)
 
-    return docs.mapInArrow(run, "key long, doc long, last long, whole long, bytes binary")
+    return docs.mapInArrow(freeing(run), "key long, doc long, last long, whole long, bytes binary")
+
+
+def bucket_pointers(raw: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Bucket-pointer refinement of the suffixes of ``raw`` to ``depth`` bytes.
+
+    Suffixes are first sorted into buckets of 8 bytes; a suffix's pointer is the
+    place of its bucket's last suffix in that order.  Buckets of more than one
+    suffix are then sorted on the pointers at a later offset, which splits them,
+    and the next round reuses the new pointers at twice the offset.  Suffixes
+    with equal pointers have their first ``depth`` bytes in common, and no others
+    have (but for those that end before).  If only ``wanted`` suffixes are asked
+    for, each round sorts what the rounds after it look up, and the other
+    pointers mean nothing.
+    """
+    n = len(raw)
+    steps = []  # how far each round looks
+    have = 8
+    while have < depth:
+        steps.append(min(have, depth - have))
+        have += steps[-1]
+    needed = [np.ones(n, bool)]
+    if wanted is not None:
+        needed[0][:] = False
+        needed[0][wanted] = True
+    for step in reversed(steps):
+        more = needed[-1].copy()
+        more[step:] |= needed[-1][: n - step]
+        needed.append(more)
+    place = np.flatnonzero(needed.pop())
+    words = np.ndarray((n,), ">u8", buffer=raw + bytes(8), strides=(1,))[place].astype(np.uint64)
+    order = np.argsort(words)
+    words, order = words[order], place[order]
+    last = np.flatnonzero(np.append(words[1:] != words[:-1], True))
+    size = np.diff(last, prepend=-1)
+    pointer = np.full(n + depth, -1, np.int64)
+    pointer[order] = np.repeat(last, size)
+    open_ = order[np.repeat(size > 1, size)]
+    for step in steps:
+        open_ = open_[needed.pop()[open_]]
+        own, later = pointer[open_], pointer[open_ + step]
+        o = np.argsort(own * (n + 1) + later)
+        open_, own, later = open_[o], own[o], later[o]
+        ends = np.append(own[1:] != own[:-1], True) if len(own) else np.zeros(0, bool)
+        outer = np.flatnonzero(ends)
+        inner = np.flatnonzero(ends | np.append(later[1:] != later[:-1], True)) if len(own) else outer
+        size = np.diff(inner, prepend=-1)
+        behind = np.repeat(outer, np.diff(outer, prepend=-1)) - np.repeat(inner, size)
+        pointer[open_] = own - behind
+        open_ = open_[np.repeat(size > 1, size)]
+    return pointer[:n]
 
 
 def later_windows(docs: list[int], contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(doc, pointer)`` of windows of ``contents`` that a smaller document has too."""
+    """``(doc, identifier)`` of windows of ``contents`` that a smaller document has too.
+
+    Windows whose identifier occurs once are unique; the others are compared by
+    their bytes, through their bucket pointers.
+    """
     size = np.array(list(map(len, contents)))
-    _, whole = pointers(b"".join(contents), window)
+    raw = b"".join(contents)
     start = np.cumsum(size) - size
     count = size - window + 1
     at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    w, d = whole[at], np.repeat(np.array(docs, np.int64), count)
-    o = np.lexsort((d, w))
-    w, d = w[o], d[o]
+    names, place = np.unique(np.array(docs, np.int64), return_inverse=True)
+    own = pointers(raw, window)[1][at]
+    order = np.argsort(own)
+    same = own[order[1:]] == own[order[:-1]]
+    order = order[np.append(same, False) | np.concatenate([[False], same])]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    w, d = bucket_pointers(raw, window, at[order])[at[order]], np.repeat(place, count)[order]
+    o = np.argsort(w * len(names) + d)
+    w, d, order = w[o], d[o], order[o]
     head = np.concatenate([[True], w[1:] != w[:-1]])
     least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
     new = d > least
     new[1:] &= (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-    return d[new], w[new]
+    return names[d[new]], own[order[new]]
 
 
 def _compare_met(opened: DataFrame, window: int) -> DataFrame:
@@ -252,7 +312,7 @@ def _compare_met(opened: DataFrame, window: int) -> DataFrame:
         if keys:
             yield made(len(keys))
 
-    return opened.mapInArrow(run, "doc long, mark long")
+    return opened.mapInArrow(freeing(run), "doc long, mark long")
 
 
 def repeated_bytes(raw: bytes, window: int, marks: np.ndarray) -> np.ndarray | None:
@@ -289,11 +349,12 @@ def repeated_bytes(raw: bytes, window: int, marks: np.ndarray) -> np.ndarray | N
 def find_repeats(docs: DataFrame, window: int) -> DataFrame:
     """``doc, marks``: pointers of each document's windows and run contents that an earlier document has."""
     texts = docs.where(F.octet_length("text") >= window)
-    shared = _emit_runs(texts, window, False).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # counts are written before they are joined: Spark splits a key with very many rows only if no aggregate stands between
+    shared = materialize(_emit_runs(texts, window, False).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "suffix-shared")
     runs = materialize(_emit_runs(texts, window, True).join(shared, "key"), "suffix-runs")
     contents = materialize(runs.groupBy("key", "content").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "suffix-contents")
     whole = runs.join(contents.where("last > first").select("key", "content", "first"), ["key", "content"]).where("doc > first").select("doc", F.col("content").alias("mark"))
-    mixed = contents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    mixed = materialize(contents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "suffix-mixed")
     open_ = contents.join(mixed, "key").select(F.col("first").alias("doc"), "content", (F.col("n") > GROUP).alias("hot"))
     lists = open_.groupBy("doc").agg(F.collect_set(F.when(~F.col("hot"), F.col("content"))).alias("marks"), F.collect_set(F.when(F.col("hot"), F.col("content"))).alias("hot"))
     opened = materialize(_emit_open(texts.join(lists, "doc").select("doc", "text", "marks", "hot"), window), "suffix-open")
@@ -301,7 +362,8 @@ def find_repeats(docs: DataFrame, window: int) -> DataFrame:
     windows = opened.where("whole is not null").groupBy("key", "whole")
     again = windows.agg(F.min("doc").alias("first"), F.max("last").alias("last")).where("last > first").select("key", "whole", "first")
     again = materialize(again, "suffix-again")
-    chunks = again.join(again.groupBy("key").agg(F.ceil(F.count("*") / LIST).alias("n")), "key").withColumn("chunk", F.pmod(F.xxhash64("whole"), F.col("n")))
+    sizes = materialize(again.groupBy("key").agg(F.ceil(F.count("*") / LIST).alias("n")), "suffix-sizes")
+    chunks = again.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("whole"), F.col("n")))
     chunks = chunks.groupBy("key", "chunk").agg(F.collect_list(F.struct("whole", "first")).alias("met"))
     # a window that starts in an earlier document may be marked whether or not this one has it
     earlier = F.transform(F.filter("met", lambda w: w["first"] < F.col("doc")), lambda w: w["whole"])
@@ -309,7 +371,7 @@ def find_repeats(docs: DataFrame, window: int) -> DataFrame:
     small = whole.union(_compare_met(met, window)).groupBy("doc").agg(F.collect_set("mark").alias("marks"))
     marks = small.union(large.groupBy("doc").agg(F.flatten(F.collect_list("marks")))).groupBy("doc").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     marks = materialize(marks, "suffix-marks")
-    discard(runs, contents, opened, again)
+    discard(shared, runs, contents, mixed, opened, again, sizes)
     return marks
 
 
@@ -351,4 +413,4 @@ def deduplicate(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id", t
             made = [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()] * 2, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *made[: 5 if with_text else 4], *b.columns[3:]], names=names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(freeing(run), schema)
