@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from culprit.llm.tokens import ChunkTable, slices
+from culprit.llm.common import freeing
+from culprit.llm.tokens import CHUNK_TABLE, ChunkTable, slices
 
 
 class ChunkIds(ChunkTable):
@@ -65,10 +66,10 @@ class ChunkIds(ChunkTable):
             yield np.frombuffer(self.alone(texts[k].as_py()), "<u4") if k in alone else ids[cuts[k] : cuts[k + 1]]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkIds:
+@lru_cache(maxsize=1)
+def encoder(path: str, cap: int) -> ChunkIds:
     """A worker keeps its table for its next tasks; results don't depend on what is in it."""
-    return ChunkIds(path)
+    return ChunkIds(path, cap)
 
 
 class CapacityTree:
@@ -176,6 +177,7 @@ def pack(
     window: int = 1024,
     end_id: int = 0,
     least_gap: int = 16,
+    table_size: int = CHUNK_TABLE,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -203,7 +205,7 @@ def pack(
             yield from zip(batch.column(0).slice(at, len(texts)).to_pylist(), table.ids(texts), strict=True)
 
     def run(batches):
-        table, base = encoder(tokenizer_path), TaskContext.get().partitionId() << 32
+        table, base = encoder(tokenizer_path, table_size), TaskContext.get().partitionId() << 32
         free, rests = 0, []
         for batch in batches:
             full: list[tuple] = []
@@ -238,4 +240,4 @@ def pack(
                 yield emit(list(zip(*pieces[k : k + 10_000], strict=True)))
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return picked.mapInArrow(freeing(run), ", ".join(f"{n} long" for n in names))

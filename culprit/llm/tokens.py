@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from culprit.llm.common import arrow_map
 
 #: Entries of a worker's chunk table and characters of a key; beyond them, chunks are encoded each time.
-CHUNK_TABLE, KEY_CHARS = 800_000, 32
+CHUNK_TABLE, KEY_CHARS = 400_000, 32
 #: Bytes of text that are split at once, about.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 _CUT = re.compile(r" (?=\S)")
 _BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

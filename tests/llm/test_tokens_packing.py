@@ -97,3 +97,42 @@ def test_best_fit_takes_the_tightest():
 
 def test_empty_table(docs):
     assert count_tokens(docs.limit(0), PATH).count() == 0 and pack(docs.limit(0), PATH).count() == 0
+
+
+def test_best_fit_equals_a_plain_search():
+    rng = np.random.default_rng(2)
+    for window, n in ((16, 40), (1024, 300), (100, 0)):
+        lengths = rng.integers(1, window, n)
+        sequence, offset, end = best_fit_decreasing(lengths, window, 0)
+        room: list[int] = []
+        for need in sorted(lengths.tolist(), reverse=True):
+            fits = [c for c in room if c >= need]
+            if fits:
+                room.remove(min(fits))
+            room.append((min(fits) if fits else window) - need)
+        used = np.bincount(sequence, weights=lengths, minlength=end) if n else np.zeros(0)
+        assert sorted((window - used).astype(int).tolist()) == sorted(room)
+        for s in range(end):
+            at = np.sort(offset[sequence == s])
+            assert at[0] == 0 and (np.diff(np.append(at, used[s])) > 0).all()
+
+
+def test_little_padding_on_real_documents(spark, sf):
+    sizes = pack(spark.read.parquet(f"{sf}/documents.parquet").coalesce(1), PATH).groupBy("sequence_id").sum("length").collect()
+    padding = sum(0 if r[1] & (r[1] - 1) == 0 else 1024 - r[1] for r in sizes)
+    assert padding <= 0.01 * sum(r[1] for r in sizes)
+
+
+def test_tables_of_chunks_are_bounded(tok):
+    import pyarrow as pa
+
+    from culprit.llm.packing import ChunkIds
+    from culprit.llm.tokens import KEY_CHARS, ChunkCounter, slices
+
+    texts = pa.array(["x" + str(k) * 3 + " y" + "ab" * 40 + f"{k} long and short words {k}" for k in range(300)] + [None, "a b " * 50_000])
+    for cap in (0, 10, 10_000):
+        counter, ids = ChunkCounter(PATH, cap), ChunkIds(PATH, cap)
+        got = np.concatenate([counter.count_all(t) for _, t in slices(texts, 2000)])
+        assert got.tolist() == [len(tok.encode(t or "", add_special_tokens=False).ids) for t in texts.to_pylist()]
+        assert [v.tolist() for _, t in slices(texts, 2000) for v in ids.ids(t)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+        assert len(counter) <= cap and len(ids) <= cap and all(len(k) <= KEY_CHARS for k in counter)
