@@ -25,19 +25,17 @@ def _small_star(e: DataFrame) -> DataFrame:
     return turned.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of an edge; the component is its least node.
 
     Self-loops and edges with a null end are ignored, repeated edges count once.
-    The rounds end when a round changes nothing.
+    The rounds end when a round changes nothing, however many that takes.
     """
     e = edges.where(f"`{a}` <> `{b}`").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     e = checkpoint(e)
     mark = lambda d: tuple(d.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     last = mark(e)
-    for _ in range(rounds):
-        if not last[0]:
-            break
+    while last[0]:
         e = checkpoint(_small_star(_large_star(e)))
         now = mark(e)
         if now == last:

@@ -21,28 +21,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from culprit.llm.common import materialize
+from culprit.llm.common import discard, freeing, materialize
 from culprit.llm.components import connected_components
 
 _BITS = 64
+#: Hashes whose bits are counted at once.
+_BLOCK = 1 << 16
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
-    """Majority bits over the shingles of a whole text, repeats included."""
+def shingle_hashes(text: str, width: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of the shingles of a whole text in order, repeats included; a shorter text is one shingle, none without words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[:-1].tolist()]
     stops = (ends - 1).tolist()
-    stops = [stops[-1]] if n == 1 else stops[width - 1 :]
-    h = np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, stops, strict=False)], "<u8")
-    bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > n, bitorder="little").tobytes(), "little")
+    stops = stops[width - 1 :] or stops[-1:]
+    return np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, stops, strict=False)), np.uint64, len(stops))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, which are read in blocks; 0 without any."""
+    bits = np.zeros(_BITS, np.int64)
+    for k in range(0, len(hashes), _BLOCK):
+        part = hashes[k : k + _BLOCK].astype("<u8")
+        bits += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
+    """Majority bits over the shingles of a whole text."""
+    return majority(shingle_hashes(text, width, seed))
 
 
 def fingerprints(docs: DataFrame, *, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,8 +66,8 @@ def fingerprints(docs: DataFrame, *, width: int = 3, seed: int = 42, id_col: str
             fp = np.array([fingerprint(t or "", width, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return picked.mapInArrow(freeing(run), "doc_id long, fp long")
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -70,7 +83,7 @@ def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["k", "v"])
 
     sums = np.zeros((_BITS + 1) ** 2)
-    for k, v in distinct.select("fp").mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v")).collect():
+    for k, v in distinct.select("fp").mapInArrow(freeing(run), "k long, v long").groupBy("k").agg(F.sum("v")).collect():
         sums[k] = v
     sums = sums.reshape(_BITS + 1, _BITS + 1)
     n = int(sums[-1, -1])
@@ -153,18 +166,33 @@ def plan(n: int, p: np.ndarray, correlation: np.ndarray, tau: int = 3, probe_cos
     return best[1]
 
 
-def similar_pairs(distinct: DataFrame, parts: list[Part], tau: int) -> DataFrame:
-    """Pairs ``a < b`` of distinct fingerprints within ``tau`` bits."""
-    def keyed(name: str, balls: list[list[int]]) -> DataFrame:
-        cells = [F.struct(F.lit(k).alias("part"), F.lit(signed(p.mask)).alias("mask"), F.lit(signed(d)).alias("flip")) for k, (p, ball) in enumerate(zip(parts, balls, strict=True)) for d in ball]
-        cell = distinct.select(F.col("fp").alias(name), F.explode(F.array(*cells)).alias("e"))
-        return cell.select(name, "e.part", F.col(name).bitwiseAND(F.col("e.mask")).bitwiseXOR(F.col("e.flip")).alias("key"))
+def similar_links(distinct: DataFrame, parts: list[Part], tau: int, name: str = "simhash") -> DataFrame:
+    """Pairs ``a, b`` within ``tau`` bits that connect all distinct fingerprints (``fp``) which such pairs connect.
 
-    index = keyed("a", [[0]] * len(parts))
-    probe = keyed("b", [p.ball() for p in parts])
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau)
-    joined = index.alias("i").join(probe.alias("p"), (F.col("i.part") == F.col("p.part")) & (F.col("i.key") == F.col("p.key")) & near)
-    return joined.select("a", "b").distinct()
+    Every probe of a key is first compared with the least fingerprint of that
+    key.  Probes and fingerprints of a key are compared with each other only if
+    they are then still in different groups, so a large group of near copies
+    gives a link for each of its members and not one for each of its pairs.
+    """
+
+    def keyed(rows: DataFrame, balls: list[list[int]]) -> DataFrame:
+        cells = [F.struct(F.lit(k).alias("part"), F.lit(signed(p.mask)).alias("mask"), F.lit(signed(d)).alias("flip")) for k, (p, ball) in enumerate(zip(parts, balls, strict=True)) for d in ball]
+        cell = rows.select("*", F.explode(F.array(*cells)).alias("e"))
+        return cell.select(*rows.columns, "e.part", F.col("fp").bitwiseAND(F.col("e.mask")).bitwiseXOR(F.col("e.flip")).alias("key"))
+
+    index, probe = [[0]] * len(parts), [p.ball() for p in parts]
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau
+    heads = keyed(distinct, index).groupBy("part", "key").agg(F.min("fp").alias("head"))
+    star = keyed(distinct, probe).join(heads, ["part", "key"]).where((F.col("fp") != F.col("head")) & close("fp", "head"))
+    star = materialize(star.select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct(), f"{name}-star")
+    groups = connected_components(star)
+    named = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", F.coalesce("component", "fp").alias("group"))
+    named = materialize(named, f"{name}-named")
+    x, y = keyed(named, index).toDF("a", "group_a", "part", "key"), keyed(named, probe).toDF("b", "group_b", "part", "key")
+    rest = x.join(y, ["part", "key"]).where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & close("a", "b"))
+    rest = materialize(rest.select("a", "b").distinct(), f"{name}-rest")
+    discard(named)
+    return star.union(rest)
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, tau: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,8 +201,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, tau: int = 3, seed: int
     Equal fingerprints form a class first, so copies of any number are one
     node; links are sought between classes.  Null and empty texts have
     fingerprint zero and are linked like others; rows with a null id take part,
-    and a component's id is its least id that is not null.  Returns
-    ``doc_id, fp, fingerprint, component_id``.
+    and a component's id is its least id that is not null.  A very long text's
+    bits are counted in blocks; other columns, whatever their names, are ignored;
+    an empty table gives an empty result.  Returns ``doc_id, fp, fingerprint,
+    component_id``.
     """
     rows = materialize(fingerprints(docs, width=width, seed=seed, id_col=id_col, text_col=text_col), "simhash-fp")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-class")
@@ -182,8 +212,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, tau: int = 3, seed: int
     text = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     if n < 2:
         return rows.join(classes, "fp").select("doc_id", "fp", text, F.col("least").alias("component_id"))
-    links = similar_pairs(classes, plan(n, p, correlation, tau), tau)
+    links = similar_links(classes.select("fp"), plan(n, p, correlation, tau), tau)
     parts = connected_components(links)
+    discard(links)
     rooted = classes.join(parts, classes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
