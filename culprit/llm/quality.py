@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from culprit.llm.common import materialize
+from culprit.llm.common import discard, freeing, materialize
 
 #: Labelled rows that training reads at most, those with the least hash of their id.
 TRAIN_ROWS = 20_000
@@ -136,7 +136,7 @@ def with_statistics(docs: DataFrame, keep: list[str], text_col: str) -> DataFram
             x = [statistics(t or "") for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(freeing(run), schema)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -170,6 +170,7 @@ def train(
     d = len(STATISTICS)
     moments = found.select(F.count("*").alias("n"), *(f(F.col("x")[k]).alias(f"{s}{k}") for k in range(d) for s, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     if not moments["n"]:
+        discard(found)
         return None
     rng = np.random.default_rng(seed)
     model = Model(
@@ -191,7 +192,7 @@ def train(
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     def normal(part: DataFrame) -> np.ndarray:
-        return sum(np.frombuffer(r[0]).reshape(size, size + 1) for r in part.select("x", "y").mapInArrow(sums, "part binary").collect())
+        return sum(np.frombuffer(r[0]).reshape(size, size + 1) for r in part.select("x", "y").mapInArrow(freeing(sums), "part binary").collect())
 
     def solve(total: np.ndarray) -> np.ndarray:
         return np.linalg.solve(total[:, :size] + ridge * np.eye(size) * max(1.0, total[size - 1, size - 1]) / size, total[:, size])
@@ -212,10 +213,11 @@ def train(
             np.add.at(total, k, np.stack([np.ones(len(k)), np.asarray(b.column(1))], axis=1))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-    bins = sum(np.frombuffer(r[0]).reshape(BINS, 2) for r in calibrate.select("x", "y").mapInArrow(binned, "part binary").collect())
+    bins = sum(np.frombuffer(r[0]).reshape(BINS, 2) for r in calibrate.select("x", "y").mapInArrow(freeing(binned), "part binary").collect())
     some = np.flatnonzero(bins[:, 0])
     model.levels = isotonic(bins[some, 1] / bins[some, 0], bins[some, 0])
     model.edges = (some + 0.5) / BINS * 2 - 0.5
+    discard(found)
     return model
 
 
@@ -225,9 +227,11 @@ def classify(
     """Score every whole text: ``doc_id, score, predicted`` and ``keep``.
 
     Null texts score as empty ones.  Without a model (no labelled row) every
-    score is 1.  Repeated and null ids are carried; nothing is shuffled.
+    score is 1.  Repeated and null ids are carried, equal texts score alike, a
+    very long text takes memory in proportion to it, an empty table gives an
+    empty result, and columns of any name may stand beside; nothing is shuffled.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"), *keep)
+    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("__text"), *(docs[k].alias(k) for k in keep))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), *(docs.schema[k] for k in keep)])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -240,4 +244,4 @@ def classify(
                 [batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), *batch.columns[2:]], names=["doc_id", "score", "predicted", *keep]
             )
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(freeing(run), schema)
