@@ -67,6 +67,8 @@ def roots(n, links):
 
 
 def test_components(spark):
+    path = spark.range(3000).selectExpr("id as a", "id + 1 as b")  # as many rounds as it takes
+    assert connected_components(path).where("component <> 0").count() == 0
     links = [(i, i + 1) for i in range(20)] + [(40, 30), (30, 35), (50, 50), (61, 60), (60, 61)]
     got = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(21), 0), 40: 30, 30: 30, 35: 30, 61: 60, 60: 60}
@@ -324,3 +326,47 @@ def test_viterbi_against_brute_force():
         (_, _, spans), = L.Labeller(model).label(pa.array([" ".join(text)]), spans=True)
         path = [model.langs.index(x["lang"]) for x in spans for _ in range(x["first"], x["last"] + 1)]
         assert abs(value(path) - value(best)) < 1e-3
+
+
+def test_large_buckets_equal_small_ones(spark, monkeypatch):
+    from culprit.llm import suffix as S
+
+    passage = prose(40)
+    rows = [(k, prose(8) + " " + passage + " " + prose(8)) for k in range(260)]  # more contents of one key than one task compares
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: tuple(r) for r in deduplicate(docs).collect()}
+    monkeypatch.setattr(S, "GROUP", 1000)
+    assert {r.doc_id: tuple(r) for r in deduplicate(docs).collect()} == got
+    assert sum(r[2] > 0 for r in got.values()) == 259
+
+
+def test_bucket_pointers_compare_bytes():
+    from culprit.llm.suffix import bucket_pointers
+
+    raw = bytes(RNG.choices(b"ab", k=900)) + b"x" * 300 + bytes(RNG.choices(b"abc", k=700))
+    raw += raw[200:800] + raw[:300]
+    for depth in (8, 20, 100):
+        for some in (np.arange(len(raw) - depth + 1), np.array(sorted(RNG.sample(range(len(raw) - depth), 400)))):
+            pointer, by = bucket_pointers(raw, depth, some), {}
+            for k in some.tolist():
+                by.setdefault(raw[k : k + depth], set()).add(int(pointer[k]))
+            assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == len(by)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    names = "code fp key node text1 score predicted spans n_tokens shard kind __text doc row k0 t1 component".split()
+    docs = spark.createDataFrame([(1, prose(30), "en", *range(len(names))), (2, None, "en", *range(len(names)))], "doc_id long, text string, lang string, " + ", ".join(f"{n} int" for n in names))
+    assert classify(docs, None).count() == identify(docs, train_langid(docs)).count() == near_duplicates(docs).count() == deduplicate(docs).count() == 2
+    pages = docs.selectExpr("doc_id as page_id", "text as html", "lang as url", "code as text", "fp as n_chars")
+    assert H.extract(pages).count() == 2 and H.extract(pages.limit(0)).count() == 0
+    assert train_quality(docs.limit(0), docs.selectExpr("doc_id", "1 as quality")) is None
+
+
+def test_very_long_texts(spark):
+    long = prose(200_000)
+    docs = spark.createDataFrame([(1, long, "en"), (2, "w" * 3_000_000, "en"), (3, prose(20), "en")], "doc_id long, text string, lang string")
+    assert near_duplicates(docs).count() == deduplicate(docs).count() == classify(docs, None).count() == 3
+    found = identify(docs, train_langid(docs.where("doc_id = 3"))).collect()
+    assert len(found) == 3 and all(r.lang_pred == "en" for r in found)
+    bench = spark.createDataFrame([(1, " ".join(long.split()[100_000:100_020]))], "item_id long, text string")
+    assert decontaminate(docs, bench).where("n_hit > 0").count() == 1
