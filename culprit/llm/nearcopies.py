@@ -1,16 +1,22 @@
 """Groups of near copies: documents whose sets of word shingles have a Jaccard similarity of at least ``least``.
 
-All such pairs are found exactly, by prefix filtering: with all shingles in one
-global order, two sets of similarity ``t`` or more share a shingle among the
-first ``n - ceil(t n) + 1`` of each.  The order is by hash, but shingles that
-are common in a sample of the documents come last, so that passages that many
-documents hold make few candidates.  Any order gives the same result; the
-sample only saves time.
+SimHash comes first: classes whose 64 majority bits differ in ``tau`` or fewer are
+linked if their shingles are similar enough.  No such bound on bits holds for all
+pairs of that similarity (at 0.8, about ten bits differ), so groups that are still
+apart are then compared by prefix filtering, which misses none: with all
+shingles in one global order, two sets of similarity ``t`` or more share a
+shingle among the first ``n - ceil(t n) + 1`` of each.  Any order will do.  Here
+shingles whose hash is in the first ``LOW`` of its range come first, by the
+number of classes that have them, then the others by hash.  So a set's prefix is
+mostly shingles that no other set has, which need no comparing, and passages
+that many documents share come after them.
 
 Documents with equal sets form a class first.  A shared shingle first links its
-classes to the least of them, and only classes that are then still in different
-groups are compared with each other, so a large group of near copies is not
-compared pair by pair.  Every link is verified on the whole sets.
+classes to one of them, in some rounds to another one each.  Of the classes that
+then share a shingle with another group all shingles are counted, which leaves
+those that hold little of their own; what these share is compared pair by pair.
+So a large group of near copies is not, but many groups that are alike below the
+bound are.  Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -19,28 +25,22 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from culprit.llm.common import discard, materialize
+from culprit.llm.common import discard, freeing, materialize
 from culprit.llm.components import connected_components
+from culprit.llm.simhash import bit_statistics, majority, plan, shingle_hashes, similar_links
+from culprit.llm.tokens import slices
 
-#: Documents, about, of the sample that tells common shingles, and how many of those are shipped.
-SAMPLE_DOCS, COMMON = 10_000, 200_000
+#: Share of the hash range whose shingles are counted: the prefix is a fifth of a set at a similarity of 0.8.
+LOW = 0.25
+#: Rounds in which a shingle's classes are compared with one of them.
+ROUNDS = 2
 
 
 def shingles(text: str, width: int = 5) -> np.ndarray:
     """Sorted XXH64 of the distinct shingles of a text; a shorter text is one shingle, a text without words none."""
-    from xxhash import xxh64_intdigest
-
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-1].tolist()]
-    stops = (ends - 1).tolist()
-    stops = stops[width - 1 :] or stops[-1:]
-    return np.unique(np.array([xxh64_intdigest(line[a:b]) for a, b in zip(starts, stops, strict=False)], np.uint64))
+    return np.unique(shingle_hashes(text, width))
 
 
 def code_of(found: np.ndarray) -> int:
@@ -51,35 +51,49 @@ def code_of(found: np.ndarray) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def prefix(found: np.ndarray, share: Fraction, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the global order, as many as the filter needs; ``common`` is sorted."""
-    n = len(found) + int(share * -len(found) // 1) + 1 if len(found) else 0
-    if not len(common):
-        return found[:n]
-    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-    return found[np.lexsort((found, np.where(common[at] == found, rank[at], 0)))[:n]]
+def need(n: int, share: Fraction) -> int:
+    """How many of a set's first shingles the filter looks at."""
+    return n + int(share * -n // 1) + 1 if n else 0
+
+
+def first_of(found: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted set: the shingles in the low range, and those after it that the prefix takes if they are too few."""
+    low = int(np.searchsorted(found, np.uint64(int(LOW * (1 << 64)))))
+    return found[:low], found[low : max(low, need(len(found), share))]
+
+
+#: Classes of hash values in which a sketch counts a set's shingles.
+CELLS = 256
 
 
-def common_shingles(docs: DataFrame, width: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in three or more different texts of a bounded sample, sorted by hash, and their numbers of texts."""
-    total = max(1, docs.count())
-    sample = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(total)) < SAMPLE_DOCS).distinct()
+def sketch(found: np.ndarray) -> bytes:
+    """Shingles of a set by the first bits of their hash; two sets share at most the sum of the lesser counts."""
+    return np.minimum(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes()
+
+
+def may_be_linked(pairs: DataFrame, classes: DataFrame, share: Fraction) -> DataFrame:
+    """Those of the pairs ``a, b`` of codes whose sketches allow the similarity: most others are told apart by half a kilobyte."""
 
     def run(batches):
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t or "", width).view(np.int64))], names=["h"])
+        p, q = share.numerator, share.numerator + share.denominator
+        for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, CELLS) for k in (2, 3))
+            m, n = (np.asarray(b.column(k)) for k in (4, 5))
+            met = np.minimum(x, y)
+            most = np.where((met == 65535).any(axis=1), np.minimum(m, n), met.sum(axis=1, dtype=np.int64))  # a full cell tells nothing
+            keep = pa.array(q * most >= p * (m + n))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    often = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    top = sorted((r[0] % (1 << 64), r[1]) for r in often.orderBy(F.desc("n"), "h").limit(COMMON).collect())
-    return np.array([t[0] for t in top], np.uint64), np.array([t[1] for t in top], np.int64)
+    own = classes.select("code", "sketch", "size")
+    both = pairs.join(own.toDF("a", "x", "m"), "a").join(own.toDF("b", "y", "n"), "b")
+    return both.select("a", "b", "x", "y", "m", "n").mapInArrow(freeing(run), "a long, b long")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, width: int, share: Fraction, name: str) -> DataFrame:
+def linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, share: Fraction, name: str) -> DataFrame:
     """Those of the pairs ``a, b`` of codes whose sets have the similarity."""
 
     def sets(batches):
-        for b in batches:
+        for b in (b.slice(at, len(part)) for b in batches for at, part in slices(b.column(1))):
             found = [shingles(t or "", width).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["code", "h"])
 
@@ -94,70 +108,162 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, share: Fraction, name
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    pairs = materialize(pairs, f"{name}-pairs")
-    codes = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct()
-    one = texts.join(codes, "code", "left_semi").groupBy("code").agg(F.min("text").alias("text"))
-    found = materialize(one.mapInArrow(sets, "code long, h array<long>"), f"{name}-sets")
+    pairs = materialize(may_be_linked(pairs, classes, share), f"{name}-pairs")
+    codes = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct().join(classes.select("code", "t1", "t2"), "code")
+    one = texts.join(codes, ["t1", "t2"]).groupBy("code").agg(F.min("text").alias("text"))
+    found = materialize(one.mapInArrow(freeing(sets), "code long, h array<long>"), f"{name}-sets")
     both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links = materialize(both.mapInArrow(verify, "a long, b long"), f"{name}-links")
+    links = materialize(both.mapInArrow(freeing(verify), "a long, b long"), f"{name}-links")
     discard(pairs, found)
     return links
 
 
-def near_copies(
-    docs: DataFrame, *, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """Group of every row: connected by pairs of similarity ``least`` or more.
+def fingerprint_pairs(classes: DataFrame, tau: int) -> DataFrame:
+    """Pairs ``a, b`` of codes that connect the classes whose fingerprints are within ``tau`` bits."""
+    heads = materialize(classes.groupBy("fp").agg(F.min("code").alias("head")), "copies-heads")
+    same = classes.join(heads, "fp").where("code <> head").select(F.col("head").alias("a"), F.col("code").alias("b"))
+    n, p, correlation = bit_statistics(heads)
+    if n < 2:
+        return same
+    links = similar_links(heads.select("fp"), plan(n, p, correlation, tau), tau, "copies-simhash")
+    named = links.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
+    return same.union(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
-    Null texts count as empty; texts without words form one group.  A group's id
-    is its least id that is not null, and is null where all are; its code is that
-    of a class that has this id.  Returns ``doc_id, code, component_id,
-    component_code``, then the columns in ``keep``.
-    """
+
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, t1, t2, text``: rows that agree in the first three are equal, so tables of rows need no texts."""
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"), text.alias("text"))
+
+
+def groups_of(docs: DataFrame, *, width: int, least: float, tau: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, t1, t2, code, component_id, component_code`` of every row of :func:`marked`."""
     share = Fraction(least).limit_denominator(1000)
-    shipped = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, text_col))
+    texts = marked(docs, id_col, text_col)
 
     def run(batches):
-        common, rank = shipped.value
-        for b in batches:
-            found = [shingles(t or "", width) for t in b.column(1).to_pylist()]
-            first = [prefix(x, share, common, rank).view(np.int64) for x in found]
-            made = [pa.array([code_of(x) for x in found], pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            names = ["doc_id", "text", "code", "size", "first", *(f"keep_{i}" for i in range(len(keep)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *b.columns[2:]], names=names)
-
-    wanted, keep = keep, tuple(k for k in keep if k != text_col)
-    carried = [T.StructField(f"keep_{i}", docs.schema[k].dataType) for i, k in enumerate(keep)]
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *(docs[k].alias(f.name) for k, f in zip(keep, carried, strict=True)))
-    kinds = [("doc_id", T.LongType()), ("text", T.StringType()), ("code", T.LongType()), ("size", T.LongType()), ("first", T.ArrayType(T.LongType()))]
-    rows = materialize(picked.mapInArrow(run, T.StructType([*(T.StructField(*k) for k in kinds), *carried])), "copies-rows")
-    grouped = rows.groupBy("code").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("first").alias("first"))
-    classes = materialize(grouped, "copies-classes")
-
-    key = Window.partitionBy("key")
-    posted = classes.select("code", "size", F.explode("first").alias("key"))
-    posted = posted.withColumn("head", F.min("code").over(key)).withColumn("tail", F.max("code").over(key)).where("head <> tail").drop("tail")
-    posted = materialize(posted, "copies-posted")
+        for b in (b.slice(at, len(part)) for b in batches for at, part in slices(b.column(3))):
+            every = [shingle_hashes(t or "", width) for t in b.column(3).to_pylist()]
+            bits = np.array([majority(h) for h in every], np.uint64).view(np.int64)
+            found = [np.unique(h) for h in every]
+            del every
+            parts = [first_of(x, share) for x in found]
+            made = [pa.array([code_of(x) for x in found], pa.int64()), pa.array(bits), pa.array(list(map(len, found)), pa.int64()), pa.array(list(map(sketch, found)), pa.binary()), *(pa.array([p[k].view(np.int64) for p in parts], pa.list_(pa.int64())) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=["doc_id", "t1", "t2", "code", "fp", "size", "sketch", "low", "rest"])
+
+    every = materialize(texts.mapInArrow(freeing(run), "doc_id long, t1 long, t2 int, code long, fp long, size long, sketch binary, low array<long>, rest array<long>"), "copies-all")
+    grouped = every.groupBy("code").agg(F.min("doc_id").alias("least"), F.min(F.struct("t1", "t2")).alias("t"), *(F.first(c).alias(c) for c in ("fp", "size", "sketch", "low", "rest")))
+    classes = materialize(grouped.select("code", "least", "t.*", "fp", "size", "sketch", "low", "rest"), "copies-classes")
+    rows = materialize(every.select("doc_id", "t1", "t2", "code"), "copies-rows")
+    discard(every)
+
+    near_bits = linked(fingerprint_pairs(classes, tau), classes, texts, width, share, "copies-bits")
+    groups = connected_components(near_bits)
     p, q = share.numerator, share.denominator
-    size = classes.select(F.col("code").alias("a"), F.col("size").alias("size_a"))
-    pairs = posted.where("code <> head").select(F.col("head").alias("a"), F.col("code").alias("b"), "size").distinct()
-    pairs = pairs.join(size, "a").where(f"{q} * least(size, size_a) >= {p} * greatest(size, size_a)").select("a", "b")
-    links = linked(pairs, rows, width, share, "copies-star")
-    groups = connected_components(links)
-
-    named = posted.join(groups, posted.code == groups.node, "left").select("key", "code", "size", "head", F.coalesce("component", "code").alias("group"))
-    mixed = named.withColumn("low", F.min("group").over(key)).withColumn("high", F.max("group").over(key)).where("low <> high and code <> head")
-    mixed = materialize(mixed.select("key", "code", "size", "group"), "copies-mixed")
+    posted = materialize(posts(classes, share), "copies-posted")
+    alike = f"`group` <> group_a and {q} * least(size, size_a) >= {p} * greatest(size, size_a)"
+
+    def facts(groups: DataFrame) -> DataFrame:
+        return classes.select("code", "size").join(groups, F.col("code") == F.col("node"), "left").select("code", "size", F.coalesce("component", "code").alias("group"))
+
+    links, done = near_bits, [near_bits]
+    for k in range(ROUNDS):
+        known = materialize(facts(groups), "copies-known")
+        heads = posted.groupBy("key").agg(F.min_by("code", F.xxhash64("code", F.lit(k))).alias("a"))
+        pairs = posted.join(heads, "key").where("code <> a").select("a", F.col("code").alias("b")).distinct()
+        pairs = pairs.join(known.toDF("b", "size", "group"), "b").join(known.toDF("a", "size_a", "group_a"), "a").where(alike).select("a", "b")
+        more = linked(pairs, classes, texts, width, share, "copies-star")
+        discard(known)
+        if more.isEmpty():
+            discard(more)
+            break
+        done.append(more)
+        links = links.union(more)
+        groups = connected_components(links)
+
+    open_ = still_open(posted, facts(groups)).select("code").distinct()
+    # among those that are left, all shingles are counted: what only one of them has needs no comparing
+    full = materialize(whole_sets(open_.join(classes.select("code", "t1", "t2"), "code"), texts, width), "copies-full")
+    again = materialize(posts(full, share), "copies-again")
+    mixed = materialize(still_open(again, facts(groups)), "copies-mixed")
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.code") < F.col("y.code")) & (F.col("x.group") != F.col("y.group"))
     near = near & (q * F.least("x.size", "y.size") >= p * F.greatest("x.size", "y.size"))
     rest = mixed.alias("x").join(mixed.alias("y"), near).select(F.col("x.code").alias("a"), F.col("y.code").alias("b")).distinct()
-    more = linked(rest, rows, width, share, "copies-rest")
+    more = linked(rest, classes, texts, width, share, "copies-rest")
     if not more.isEmpty():
         groups = connected_components(links.union(more))
 
-    rooted = classes.join(groups, classes.code == groups.node, "left").select("code", "least", F.coalesce("component", "code").alias("root"))
+    rooted = classes.select("code", "least").join(groups, F.col("code") == F.col("node"), "left").select("code", "least", F.coalesce("component", "code").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "code")).alias("best"))
     found = rooted.join(best, "root").select("code", F.col("best.least").alias("component_id"), F.col("best.code").alias("component_code"))
-    discard(posted, mixed)
-    source = {text_col: "text", **{k: f.name for k, f in zip(keep, carried, strict=True)}}
-    return rows.join(found, "code").select("doc_id", "code", "component_id", "component_code", *(F.col(source[k]).alias(k) for k in wanted))
+    result = materialize(rows.join(found, "code").select("doc_id", "t1", "t2", "code", "component_id", "component_code"), "copies-groups")
+    discard(posted, full, again, mixed, classes, rows, more, *done)
+    return result
+
+
+def posts(classes: DataFrame, share: Fraction) -> DataFrame:
+    """``key, code``: the shingles of each class's prefix that another class's prefix may have too.
+
+    A shingle of the low range is looked up only if another class has it, so a
+    class with enough shingles of its own posts none.
+    """
+    key, own = Window.partitionBy("key"), Window.partitionBy("code")
+    low = classes.select("code", F.explode("low").alias("key")).withColumn("df", F.count("*").over(key)).where("df > 1")
+    low = materialize(low, "copies-shared")
+    p, q = share.numerator, share.denominator
+    prefix = F.col("size") - F.ceil(F.col("size") * p / q) + 1
+    alone = classes.select("code", "size", F.size("low").alias("n_low")).join(low.groupBy("code").agg(F.count("*").alias("n")), "code")
+    wanted = alone.select("code", (prefix - (F.col("n_low") - F.col("n"))).alias("wanted")).where("wanted > 0")
+    place = F.row_number().over(own.orderBy("df", "key"))
+    chosen = low.join(wanted, "code").withColumn("place", place).where("place <= wanted").select("key", "code")
+    both = chosen.union(classes.select(F.explode("rest").alias("key"), "code"))
+    found = both.withColumn("least", F.min("code").over(key)).withColumn("most", F.max("code").over(key)).where("least <> most")
+    return found.select("key", "code")
+
+
+def still_open(posted: DataFrame, known: DataFrame) -> DataFrame:
+    """``key, code, size, group`` of shingles that classes of different groups have."""
+    key = Window.partitionBy("key")
+    named = posted.join(known, "code")
+    mixed = named.withColumn("low", F.min("group").over(key)).withColumn("high", F.max("group").over(key)).where("low <> high")
+    return mixed.select("key", "code", "size", "group")
+
+
+def whole_sets(codes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Rows as :func:`posts` takes them, with all shingles in the counted part, of ``codes(code, t1, t2)``."""
+
+    def sets(batches):
+        for b in (b.slice(at, len(part)) for b in batches for at, part in slices(b.column(1))):
+            found = [shingles(t or "", width).view(np.int64) for t in b.column(1).to_pylist()]
+            made = [pa.array(list(map(len, found)), pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array([[]] * len(found), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["code", "size", "low", "rest"])
+
+    one = texts.join(codes, ["t1", "t2"]).groupBy("code").agg(F.min("text").alias("text"))
+    return one.mapInArrow(freeing(sets), "code long, size long, low array<long>, rest array<long>")
+
+
+def near_copies(docs: DataFrame, *, width: int = 5, least: float = 0.8, tau: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Group of every row: connected by pairs of similarity ``least`` or more.
+
+    Null texts count as empty; texts without words form one group.  A group's id
+    is its least id that is not null, and is null where all are; its code is that
+    of a class that has this id.  Repeated rows are in one group.  A very long
+    text takes memory in proportion to it; other columns, whatever their names,
+    are ignored; an empty table gives an empty result.  Returns ``doc_id, code,
+    component_id, component_code``.
+    """
+    return groups_of(docs, width=width, least=least, tau=tau, id_col=id_col, text_col=text_col).drop("t1", "t2")
+
+
+def one_of_each(docs: DataFrame, *, width: int = 5, least: float = 0.8, tau: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are left if one of each group of near copies stays: one of its least id.
+
+    Cases are as in :func:`near_copies`; all columns are kept.
+    """
+    groups = groups_of(docs, width=width, least=least, tau=tau, id_col=id_col, text_col=text_col)
+    chosen = groups.where("code = component_code and doc_id <=> component_id").groupBy("code").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("k"))
+    chosen = chosen.select(F.col("k.doc_id").alias("k0"), F.col("k.t1").alias("k1"), F.col("k.t2").alias("k2"))
+    text = docs[text_col].cast("string")
+    rows = docs.select(F.struct(docs.columns).alias("row"), docs[id_col].cast("long").alias("k0"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
+    met = rows.join(chosen, rows.k0.eqNullSafe(chosen.k0) & (rows.k1 == chosen.k1) & (rows.k2 == chosen.k2), "left_semi")
+    return met.groupBy("k0", "k1", "k2").agg(F.first("row").alias("row")).select("row.*")

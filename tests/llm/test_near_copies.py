@@ -59,20 +59,28 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in N.near_copies(docs).collect()}
     assert got == dict(enumerate(want)) and 30 < len(set(want)) < len(texts) - 40
-    monkeypatch.setattr(N, "COMMON", 0)  # the sample changes no result
-    assert {r.doc_id: r.component_id for r in N.near_copies(docs).collect()} == got
+    for low, rounds in ((0.0, 0), (0.7, 1)):  # the order and the rounds change no result
+        monkeypatch.setattr(N, "LOW", low)
+        monkeypatch.setattr(N, "ROUNDS", rounds)
+        assert {r.doc_id: r.component_id for r in N.near_copies(docs).collect()} == got
     assert N.near_copies(docs.limit(0)).count() == 0
 
 
 def test_prefixes_of_similar_sets_meet():
-    common, share = np.sort(np.array(RNG.sample(range(400), 60), np.uint64)), N.Fraction(0.8).limit_denominator(1000)
-    rank = np.array([RNG.randint(3, 9) for _ in common])
+    share, df = N.Fraction(0.8).limit_denominator(1000), {x: RNG.randint(2, 9) for x in range(400)}
+    hashed = {x: RNG.randrange(1 << 64) for x in range(400)}
     for _ in range(300):
         a = set(RNG.sample(range(400), RNG.randint(1, 80)))
         b = set(sorted(a)[RNG.randint(0, 2) :]) | set(RNG.sample(range(400), RNG.randint(0, 8)))
         if b and 10 * len(a & b) >= 8 * len(a | b):
-            x, y = (N.prefix(np.array(sorted(s), np.uint64), share, common, rank) for s in (a, b))
-            assert set(x.tolist()) & set(y.tolist())
+            firsts = []
+            for s in (a, b):
+                low, rest = N.first_of(np.array(sorted(hashed[x] for x in s), np.uint64), share)
+                back = {h: x for x, h in hashed.items()}
+                order = sorted(low.tolist(), key=lambda h: (df[back[h]], h)) + rest.tolist()
+                firsts.append(set(order[: N.need(len(s), share)]))
+                assert len(order) >= N.need(len(s), share)
+            assert firsts[0] & firsts[1]
 
 
 def test_stage_removes_copies_of_similarity_08(spark, sf):
