@@ -362,10 +362,12 @@ def report_subgraph_edges(s: Star) -> DataFrame:
 
 
 @query(
-    """select incident_id, case when k < 2 then '' else 'Crash site not found in graph. Functions searched: none extracted from trace' end as no_result_reason, k < 2 as is_valid
+    """select incident_id, case when k < 2 then '' else 'Crash site not found in graph. Functions searched: none extracted from trace' end as no_entry_reason, case when k < 2 then 1 else 0 end as entries
     from (select incident_id, cast(incident_id as bigint) % 4 as k from log_lines)""",
     "nodes", "log_lines",
 )
 def diagnose_failures(s: Star) -> DataFrame:
-    """Why an incident has no diagnosis."""
-    return D.diagnose(s.log_lines, s.nodes, s.edges, AS_OF).reports.select("incident_id", "no_result_reason", "is_valid")
+    """Why an incident has no entry; each line names one function or none."""
+    r = D.diagnose(s.log_lines, s.nodes, s.edges, AS_OF).reports
+    reason = F.when(F.col("entry_nodes_found") == 0, F.col("no_result_reason")).otherwise("")
+    return r.select("incident_id", reason.alias("no_entry_reason"), F.least(F.lit(1), F.col("entry_nodes_found")).cast("int").alias("entries"))

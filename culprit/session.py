@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +30,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes of a table that is shipped to all executors.
+SHIPPED_BYTES = 32 << 20
+
+
+def shipped_if_small(table: DataFrame, row_bytes: Column) -> DataFrame:
+    """A checkpointed table, marked for broadcast if its rows have at most ``SHIPPED_BYTES``; joins shuffle a larger one."""
+    size = table.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(table) if size <= SHIPPED_BYTES else table
