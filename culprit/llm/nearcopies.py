@@ -14,9 +14,16 @@ that many documents share come after them.
 Documents with equal sets form a class first.  A shared shingle first links its
 classes to one of them, in some rounds to another one each.  Of the classes that
 then share a shingle with another group all shingles are counted, which leaves
-those that hold little of their own; what these share is compared pair by pair.
-So a large group of near copies is not, but many groups that are alike below the
-bound are.  Every link is verified on the whole sets.
+those that hold little of their own.  These are in one global order, so two sets
+whose first common shingle is the i-th of ``m`` and the j-th of ``n`` share at
+most ``1 + min(m - i, n - j)``: what a class has alone comes first and counts
+against each of its pairs.  A shingle first links its classes to the one that has
+it earliest, which is the nearest to what a family of copies has in common.
+Classes outside that one's group are then compared with the others, as far as
+places allow the similarity.  So neither a large group of near copies nor copies
+edited away from it are compared pair by pair; copies that are all alike just
+below the bound, none of them nearer to the rest, still are.  Every link is
+verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from culprit.llm.common import discard, freeing, materialize
 from culprit.llm.components import connected_components
@@ -185,10 +192,21 @@ def groups_of(docs: DataFrame, *, width: int, least: float, tau: int, id_col: st
     # among those that are left, all shingles are counted: what only one of them has needs no comparing
     full = materialize(whole_sets(open_.join(classes.select("code", "t1", "t2"), "code"), texts, width), "copies-full")
     again = materialize(posts(full, share), "copies-again")
-    mixed = materialize(still_open(again, facts(groups)), "copies-mixed")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.code") < F.col("y.code")) & (F.col("x.group") != F.col("y.group"))
-    near = near & (q * F.least("x.size", "y.size") >= p * F.greatest("x.size", "y.size"))
-    rest = mixed.alias("x").join(mixed.alias("y"), near).select(F.col("x.code").alias("a"), F.col("y.code").alias("b")).distinct()
+    mixed = materialize(headed(still_open(again, facts(groups))), "copies-mixed")
+    first = mixed.where("`group` <> group_a").where(in_reach(share, "place", "size", "place_a", "size_a"))
+    first = first.select(F.least("code", "code_a").alias("a"), F.greatest("code", "code_a").alias("b")).distinct()
+    more = linked(first, classes, texts, width, share, "copies-first")
+    done.append(more)
+    if not more.isEmpty():
+        links = links.union(more)
+        groups = connected_components(links)
+        discard(mixed)
+        mixed = materialize(headed(still_open(again, facts(groups))), "copies-mixed")
+    # of two classes in different groups at least one is not in the group of the head
+    x, y = mixed.where("`group` <> group_a").alias("x"), mixed.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & ((F.col("y.group") == F.col("y.group_a")) | (F.col("x.code") < F.col("y.code")))
+    rest = x.join(y, apart & in_reach(share, "x.place", "x.size", "y.place", "y.size"))
+    rest = rest.select(F.least("x.code", "y.code").alias("a"), F.greatest("x.code", "y.code").alias("b")).distinct()
     more = linked(rest, classes, texts, width, share, "copies-rest")
     if not more.isEmpty():
         groups = connected_components(links.union(more))
@@ -202,7 +220,7 @@ def groups_of(docs: DataFrame, *, width: int, least: float, tau: int, id_col: st
 
 
 def posts(classes: DataFrame, share: Fraction) -> DataFrame:
-    """``key, code``: the shingles of each class's prefix that another class's prefix may have too.
+    """``key, code, place``: the shingles of each class's prefix that another class's prefix may have too, and their places in its set from 1.
 
     A shingle of the low range is looked up only if another class has it, so a
     class with enough shingles of its own posts none.
@@ -213,20 +231,34 @@ def posts(classes: DataFrame, share: Fraction) -> DataFrame:
     p, q = share.numerator, share.denominator
     prefix = F.col("size") - F.ceil(F.col("size") * p / q) + 1
     alone = classes.select("code", "size", F.size("low").alias("n_low")).join(low.groupBy("code").agg(F.count("*").alias("n")), "code")
-    wanted = alone.select("code", (prefix - (F.col("n_low") - F.col("n"))).alias("wanted")).where("wanted > 0")
-    place = F.row_number().over(own.orderBy("df", "key"))
-    chosen = low.join(wanted, "code").withColumn("place", place).where("place <= wanted").select("key", "code")
-    both = chosen.union(classes.select(F.explode("rest").alias("key"), "code"))
+    wanted = alone.select("code", (F.col("n_low") - F.col("n")).alias("alone"), prefix.alias("prefix")).where("alone < prefix")
+    place = (F.col("alone") + F.row_number().over(own.orderBy("df", "key"))).cast("int")
+    chosen = low.join(wanted, "code").withColumn("place", place).where("place <= prefix").select("key", "code", "place")
+    after = classes.select("code", F.size("low").alias("n_low"), F.posexplode("rest").alias("nth", "key"))
+    both = chosen.union(after.select("key", "code", F.col("n_low") + F.col("nth") + 1))
     found = both.withColumn("least", F.min("code").over(key)).withColumn("most", F.max("code").over(key)).where("least <> most")
-    return found.select("key", "code")
+    return found.select("key", "code", "place")
 
 
 def still_open(posted: DataFrame, known: DataFrame) -> DataFrame:
-    """``key, code, size, group`` of shingles that classes of different groups have."""
+    """``key, code, place, size, group`` of shingles that classes of different groups have."""
     key = Window.partitionBy("key")
     named = posted.join(known, "code")
     mixed = named.withColumn("low", F.min("group").over(key)).withColumn("high", F.max("group").over(key)).where("low <> high")
-    return mixed.select("key", "code", "size", "group")
+    return mixed.select("key", "code", "place", "size", "group")
+
+
+def headed(mixed: DataFrame) -> DataFrame:
+    """Rows of :func:`still_open` with ``code_a, place_a, size_a, group_a`` of their key's head: the class that has it earliest in its set."""
+    row = F.struct(*(F.col(c).alias(f"{c}_a") for c in ("code", "place", "size", "group")))
+    heads = mixed.groupBy("key").agg(F.min_by(row, F.struct(F.col("place") / F.col("size"), "code")).alias("head"))
+    return mixed.join(heads, "key").select(*mixed.columns, "head.*")
+
+
+def in_reach(share: Fraction, i: str, m: str, j: str, n: str) -> Column:
+    """Whether sets of ``m`` and ``n`` shingles may have the similarity if the i-th of one and the j-th of the other is the first that they share."""
+    p, q = share.numerator, share.numerator + share.denominator
+    return q * (1 + F.least(F.col(m) - F.col(i), F.col(n) - F.col(j))) >= p * (F.col(m) + F.col(n))
 
 
 def whole_sets(codes: DataFrame, texts: DataFrame, width: int) -> DataFrame:

@@ -97,3 +97,27 @@ def test_stage_tells_rows_of_one_id_apart(spark, sf):
     kept = [(r.doc_id, r.text) for r in P.near_duplicate_groups(spark, docs, sf).collect()]
     assert len(kept) == 3 and {(1, base), (2, other)} < set(kept)
     assert [t for i, t in kept if i is None][0] in (third, third + " tail")
+
+
+def test_a_family_edited_away_from_its_base_is_not_compared_pair_by_pair(spark, monkeypatch):
+    base, texts = words(150), []
+    for k in range(240):
+        w = list(base)
+        for at in RNG.sample(range(150), k % 7):  # up to three edits the base is near, beyond that alike below the bound
+            w[at] = words(1)[0] + str(k)
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    compared, linked = {}, N.linked
+
+    def counting(pairs, *rest):
+        compared[rest[-1]] = compared.get(rest[-1], 0) + pairs.count()
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(N, "linked", counting)
+    want = brute_force(texts)
+    for rounds in (2, 0):
+        monkeypatch.setattr(N, "ROUNDS", rounds)
+        compared.clear()
+        assert {r.doc_id: r.component_id for r in N.near_copies(docs).collect()} == dict(enumerate(want))
+        assert compared["copies-rest"] < len(texts), compared
+    assert 20 < len(set(want)) < 140
