@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from culprit.llm.common import discard, freeing, materialize
+from culprit.llm.common import discard, freeing, materialize, sieved
 from culprit.llm.components import connected_components
 from culprit.llm.simhash import bit_statistics, majority, plan, shingle_hashes, similar_links
 from culprit.llm.tokens import slices
@@ -116,15 +116,20 @@ def linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, s
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     pairs = materialize(may_be_linked(pairs, classes, share), f"{name}-pairs")
-    codes = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct().join(classes.select("code", "t1", "t2"), "code")
-    one = texts.join(codes, ["t1", "t2"]).groupBy("code").agg(F.min("text").alias("text"))
-    found = materialize(one.mapInArrow(freeing(sets), "code long, h array<long>"), f"{name}-sets")
+    codes = materialize(pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct().join(classes.select("code", "t1", "t2"), "code"), f"{name}-codes")
+    found = materialize(texts_of(codes, texts).mapInArrow(freeing(sets), "code long, h array<long>"), f"{name}-sets")
     both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
     links = materialize(both.mapInArrow(freeing(verify), "a long, b long"), f"{name}-links")
-    discard(pairs, found)
+    discard(pairs, codes, found)
     return links
 
 
+def texts_of(codes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``code, text``: a text of each of ``codes(code, t1, t2)``; the other texts stay where they are."""
+    met = sieved(texts, codes, "t1", "t2").where("_met").drop("_met")
+    return met.join(codes, ["t1", "t2"]).groupBy("code").agg(F.min("text").alias("text"))
+
+
 def fingerprint_pairs(classes: DataFrame, tau: int) -> DataFrame:
     """Pairs ``a, b`` of codes that connect the classes whose fingerprints are within ``tau`` bits."""
     heads = materialize(classes.groupBy("fp").agg(F.min("code").alias("head")), "copies-heads")
@@ -188,9 +193,10 @@ def groups_of(docs: DataFrame, *, width: int, least: float, tau: int, id_col: st
         links = links.union(more)
         groups = connected_components(links)
 
-    open_ = still_open(posted, facts(groups)).select("code").distinct()
+    open_ = still_open(posted, facts(groups)).select("code").distinct().join(classes.select("code", "t1", "t2"), "code")
+    open_ = materialize(open_, "copies-open")
     # among those that are left, all shingles are counted: what only one of them has needs no comparing
-    full = materialize(whole_sets(open_.join(classes.select("code", "t1", "t2"), "code"), texts, width), "copies-full")
+    full = materialize(whole_sets(open_, texts, width), "copies-full")
     again = materialize(posts(full, share), "copies-again")
     mixed = materialize(headed(still_open(again, facts(groups))), "copies-mixed")
     first = mixed.where("`group` <> group_a").where(in_reach(share, "place", "size", "place_a", "size_a"))
@@ -215,7 +221,7 @@ def groups_of(docs: DataFrame, *, width: int, least: float, tau: int, id_col: st
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "code")).alias("best"))
     found = rooted.join(best, "root").select("code", F.col("best.least").alias("component_id"), F.col("best.code").alias("component_code"))
     result = materialize(rows.join(found, "code").select("doc_id", "t1", "t2", "code", "component_id", "component_code"), "copies-groups")
-    discard(posted, full, again, mixed, classes, rows, more, *done)
+    discard(posted, open_, full, again, mixed, classes, rows, more, *done)
     return result
 
 
@@ -270,8 +276,7 @@ def whole_sets(codes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             made = [pa.array(list(map(len, found)), pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array([[]] * len(found), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["code", "size", "low", "rest"])
 
-    one = texts.join(codes, ["t1", "t2"]).groupBy("code").agg(F.min("text").alias("text"))
-    return one.mapInArrow(freeing(sets), "code long, size long, low array<long>, rest array<long>")
+    return texts_of(codes, texts).mapInArrow(freeing(sets), "code long, size long, low array<long>, rest array<long>")
 
 
 def near_copies(docs: DataFrame, *, width: int = 5, least: float = 0.8, tau: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,8 +299,23 @@ def one_of_each(docs: DataFrame, *, width: int = 5, least: float = 0.8, tau: int
     """
     groups = groups_of(docs, width=width, least=least, tau=tau, id_col=id_col, text_col=text_col)
     chosen = groups.where("code = component_code and doc_id <=> component_id").groupBy("code").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("k"))
-    chosen = chosen.select(F.col("k.doc_id").alias("k0"), F.col("k.t1").alias("k1"), F.col("k.t2").alias("k2"))
+    chosen = materialize(chosen.select(*key_of("k.doc_id"), F.col("k.t1").alias("t1"), F.col("k.t2").alias("t2")), "copies-chosen")
+    # rows that stay and are no repeats need not be moved: only the others, and what the sieve takes for them, meet the chosen ones
+    every = groups.groupBy(*key_of("doc_id"), "t1", "t2").agg(F.count("*").alias("n"))
+    doubtful = every.join(chosen.withColumn("stays", F.lit(True)), _KEY, "left").where("n > 1 or stays is null").select(_KEY)
+    doubtful = materialize(doubtful, "copies-doubtful")
     text = docs[text_col].cast("string")
-    rows = docs.select(F.struct(docs.columns).alias("row"), docs[id_col].cast("long").alias("k0"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
-    met = rows.join(chosen, rows.k0.eqNullSafe(chosen.k0) & (rows.k1 == chosen.k1) & (rows.k2 == chosen.k2), "left_semi")
-    return met.groupBy("k0", "k1", "k2").agg(F.first("row").alias("row")).select("row.*")
+    rows = docs.select(F.struct(docs.columns).alias("row"), *key_of(docs[id_col].cast("long")), F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"))
+    rows = sieved(rows, doubtful, *_KEY)
+    met = rows.where("_met").join(chosen, _KEY, "left_semi").groupBy(_KEY).agg(F.first("row").alias("row"))
+    return rows.where("not _met").select("row.*").union(met.select("row.*"))
+
+
+#: What tells rows apart, without nulls, so that a join and the aggregate after it are dealt out once.
+_KEY = ["null_id", "id", "t1", "t2"]
+
+
+def key_of(doc_id: Column | str) -> tuple[Column, Column]:
+    """The first two of ``_KEY``."""
+    c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return c.isNull().alias("null_id"), F.coalesce(c, F.lit(0).cast("long")).alias("id")

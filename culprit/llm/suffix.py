@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from culprit.llm.common import discard, freeing, materialize
+from culprit.llm.common import discard, freeing, materialize, sieved
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S1, _S2 = np.uint64(29), np.uint64(32)
@@ -357,7 +357,9 @@ def find_repeats(docs: DataFrame, window: int) -> DataFrame:
     mixed = materialize(contents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "suffix-mixed")
     open_ = contents.join(mixed, "key").select(F.col("first").alias("doc"), "content", (F.col("n") > GROUP).alias("hot"))
     lists = open_.groupBy("doc").agg(F.collect_set(F.when(~F.col("hot"), F.col("content"))).alias("marks"), F.collect_set(F.when(F.col("hot"), F.col("content"))).alias("hot"))
-    opened = materialize(_emit_open(texts.join(lists, "doc").select("doc", "text", "marks", "hot"), window), "suffix-open")
+    lists = materialize(lists, "suffix-lists")
+    asked = sieved(texts, lists, "doc").where("_met").join(lists, "doc").select("doc", "text", "marks", "hot")
+    opened = materialize(_emit_open(asked, window), "suffix-open")
     met = opened.where("bytes is not null").select("key", "doc", "bytes").repartition("key").sortWithinPartitions("key")
     windows = opened.where("whole is not null").groupBy("key", "whole")
     again = windows.agg(F.min("doc").alias("first"), F.max("last").alias("last")).where("last > first").select("key", "whole", "first")
@@ -371,7 +373,7 @@ def find_repeats(docs: DataFrame, window: int) -> DataFrame:
     small = whole.union(_compare_met(met, window)).groupBy("doc").agg(F.collect_set("mark").alias("marks"))
     marks = small.union(large.groupBy("doc").agg(F.flatten(F.collect_list("marks")))).groupBy("doc").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     marks = materialize(marks, "suffix-marks")
-    discard(shared, runs, contents, mixed, opened, again, sizes)
+    discard(shared, runs, contents, mixed, lists, opened, again, sizes)
     return marks
 
 
@@ -390,7 +392,10 @@ def deduplicate(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id", t
     rows = docs.select(doc, F.col(text_col).alias("text"))
     marks = find_repeats(rows, window)
     full = docs.select(doc, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(k).alias(f"keep_{i}") for i, k in enumerate(keep)))
-    joined = full.join(marks, "doc", "left").select("doc_id", "text", "marks", *(F.col(f"keep_{i}") for i in range(len(keep))))
+    columns = ["doc_id", "text", "marks", *(f"keep_{i}" for i in range(len(keep)))]
+    full = sieved(full, marks, "doc")  # texts without marks stay where they are
+    joined = full.where("not _met").withColumn("marks", F.lit(None).cast("array<long>")).select(columns)
+    joined = joined.union(full.where("_met").join(marks, "doc", "left").select(columns))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []), *keep]
     fields = [T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.LongType()) for n in names[1:4]), T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept_text", T.StringType())] if with_text else []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from culprit.llm import nearcopies as N
+from culprit.llm.common import sieved
 
 RNG = random.Random(11)
 
@@ -121,3 +122,22 @@ def test_a_family_edited_away_from_its_base_is_not_compared_pair_by_pair(spark,
         assert {r.doc_id: r.component_id for r in N.near_copies(docs).collect()} == dict(enumerate(want))
         assert compared["copies-rest"] < len(texts), compared
     assert 20 < len(set(want)) < 140
+
+
+def test_a_sieve_keeps_every_partner_and_few_others(spark):
+    table = spark.range(20_000).selectExpr("id", "cast(id % 7 as int) as part", "case when id % 3 = 0 then null else id end as maybe")
+    keys = table.where("id % 100 = 5").select("id", "part")
+    kept = sieved(table, keys, "id", "part")
+    assert kept.columns == ["id", "part", "maybe", "_met"] and kept.count() == 20_000
+    met = {r.id for r in kept.where("_met").select("id").collect()}
+    assert {r.id for r in keys.collect()} <= met and len(met) < 200 + 20_000 / 10
+    assert sieved(table, keys.where("false"), "id", "part").where("_met").isEmpty()
+
+
+def test_rows_that_stay_are_not_moved(spark):
+    """Texts go through a shuffle only where a row may be dropped or repeats another."""
+    rows = [(k, f"own words of text number {k} are {k * 7} and {k * 11} here") for k in range(3000)]
+    docs = spark.createDataFrame([*rows, rows[5], (4001, rows[6][1])], "doc_id long, text string")
+    left = N.one_of_each(docs)
+    assert sorted(r.doc_id for r in left.collect()) == list(range(3000))
+    assert "Union" in left._jdf.queryExecution().optimizedPlan().toString()
