@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from culprit.session import sieved  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,24 +67,6 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bits of a sieve at most, in words of 64: as many rows as a broadcast takes with ease.  More keys than a few million only let more rows through.
-SIEVE_BITS = 26
-
-
-def sieved(table: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
-    """``table`` with ``_met``, which is false only where no row of ``keys`` has its values of ``on``.
-
-    A bit a key is broadcast, 16 for each that there is, so that rows with texts
-    need not be sent through a shuffle to be found without a partner.  About one
-    row in seventeen is let through for nothing: the join itself still decides.
-    """
-    bits = 1 << max(10, min(SIEVE_BITS, (16 * keys.count()).bit_length()))
-    at = F.pmod(F.xxhash64(*on), F.lit(bits))
-    words = keys.select(at.alias("_at")).groupBy(F.expr("shiftright(_at, 6)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_at % 64 as int)))").alias("_bits"))
-    joined = table.withColumn("_at", at).withColumn("_word", F.expr("shiftright(_at, 6)")).join(F.broadcast(words), "_word", "left")
-    return joined.select(*table.columns, F.expr("coalesce(shiftrightunsigned(_bits, cast(_at % 64 as int)) & 1L = 1L, false)").alias("_met"))
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
