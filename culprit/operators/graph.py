@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from culprit.session import checkpoint, sieved
+
 NODES = (
     "id string, name string, type string, file_path string, line_number int, language string, docstring string, confidence double, "
     "last_modified string, params array<string>, is_async boolean, bases array<string>, decorators array<string>, value string, "
@@ -141,13 +143,13 @@ def remove_files(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[
 
 
 def ego_network(nodes: DataFrame, edges: DataFrame, name: str, radius: int = 2) -> DataFrame:
-    """``id, distance`` of nodes within an undirected distance of any node with that name."""
-    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to")).union(edges.select("target_id", "source_id")).distinct()
-    seen = nodes.where(F.col("name") == name).select("id", F.lit(0).alias("distance"))
-    front = seen
+    """``id, distance`` of nodes within an undirected distance of any node with that name; edges that no step starts from are not sent."""
+    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to")).union(edges.select("target_id", "source_id"))
+    seen = front = checkpoint(nodes.where(F.col("name") == name).select("id", F.lit(0).alias("distance")))
     for d in range(1, radius + 1):
-        step = front.select("id").join(both, "id").select(F.col("to").alias("id")).distinct().withColumn("distance", F.lit(d))
-        seen = seen.union(step).groupBy("id").agg(F.min("distance").alias("distance"))
+        near = sieved(both, front, "id").where("_met").drop("_met")
+        step = near.join(front.select("id"), "id").select(F.col("to").alias("id")).distinct().withColumn("distance", F.lit(d))
+        seen = checkpoint(seen.union(step).groupBy("id").agg(F.min("distance").alias("distance")))
         front = seen.where(F.col("distance") == d)
     return seen.join(nodes.select("id"), "id", "left_semi")
 
